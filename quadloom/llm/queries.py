@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quadloom.llm import fertility, token_files
+from quadloom.llm import fertility, licenses, pseudonyms, token_files, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op4_quality_rules": fertility.op4_quality_rules,
+    "op5_warc_normalise": warc.op5_warc_normalise,
+    "op6_pseudonyms": pseudonyms.op6_pseudonyms,
     "op8_token_files": token_files.op8_token_files,
+    "warc_read_back": warc.warc_read_back,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"warc_read_back": warc.READ_BACK_SQL}
