@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quadloom.llm import fertility, licenses, pseudonyms, token_files, warc
+from quadloom.llm import fertility, licenses, mixture, ngram_model, pseudonyms, token_files, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_quality_rules": fertility.op4_quality_rules,
     "op5_warc_normalise": warc.op5_warc_normalise,
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
+    "op7_lm_scores": ngram_model.op7_lm_scores,
     "op8_token_files": token_files.op8_token_files,
+    "op9_mix_sources": mixture.op9_mix_sources,
     "warc_read_back": warc.warc_read_back,
 }
 
