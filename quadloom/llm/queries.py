@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quadloom.llm import fertility, licenses, mixture, ngram_model, pseudonyms, token_files, warc
+from quadloom.llm import decontaminate, fertility, licenses, mixture, ngram_model, pseudonyms, token_files, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op4_quality_rules": fertility.op4_quality_rules,
     "op5_warc_normalise": warc.op5_warc_normalise,
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
