@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadloom.llm import decontaminate, fertility, licenses, mixture, ngram_model, pseudonyms, token_files, warc
+from quadloom.llm import decontaminate, fertility, licenses, mixture, ngram_model, passages, pseudonyms, token_files, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_lm_scores": ngram_model.op7_lm_scores,
     "op8_token_files": token_files.op8_token_files,
     "op9_mix_sources": mixture.op9_mix_sources,
+    "op10_shared_passages": passages.op10_shared_passages,
     "warc_read_back": warc.warc_read_back,
 }
 
