@@ -122,8 +122,9 @@ def _packer(schema: pa.Schema, text_at: int, chars_at: int, block: int, final: b
     return run
 
 
-def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of every source: source, block_index from 0 without gaps, n_tokens, pieces (rows of `docs`).
+def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Blocks of every source: source, block_index from 0 without gaps, n_tokens, pieces (rows of `docs`);
+    and how many blocks (n) of how many tokens each source has by level and part.
 
     Each task packs what it has; what is left over, less than a block for each task and source, is packed
     again in fewer tasks, until one task is left. Only then a block may be short, one for each source.
@@ -149,10 +150,12 @@ def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         left = tails.repartition(width, "source", F.floor(F.col("part") / _FAN_IN)) if width > 1 else tails.coalesce(1)
         left = left.select(F.col("p.text").cast("string").alias("_text"), F.col("source").alias("_source"), *[F.col("p")[c].alias(c) for c in names])
         level += 1
-    counts = made.groupBy("source", "level", "part").agg(F.count("*").alias("n"))
+    counts = made.groupBy("source", "level", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("source").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("source", "level", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return made.join(bases, ["source", "level", "part"]).select("source", (F.col("base") + F.col("seq")).alias("block_index"), "n_tokens", "pieces")
+    # written, so that its size is known and the blocks needn't be shuffled to join it while it is small
+    bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
+    placed = made.join(bases.select("source", "level", "part", "base"), ["source", "level", "part"])
+    return placed.select("source", (F.col("base") + F.col("seq")).alias("block_index"), "n_tokens", "pieces"), bases
 
 
 def _mix(x: int, seed: int) -> int:
@@ -231,9 +234,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     """
     spark = docs.sparkSession
     prepare(spark)
-    blocks = materialise(pack(docs, block_tokens), "packed")
+    blocks, counts = pack(docs, block_tokens)
     # one row a source reaches the driver
-    stats = {r["source"]: (r["n"], r["tokens"]) for r in blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
+    stats = {r["source"]: (r["n"], r["tokens"]) for r in counts.groupBy("source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     target = target_weights({s: t for s, (_, t) in stats.items()}, weights, temperature)
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("block_index", T.LongType()), T.StructField("round", T.LongType())])
     total = (sum(n for n, _ in stats.values()) if total_blocks is None else total_blocks) if target else 0
@@ -244,7 +247,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     slots = based.groupBy("shard").applyInArrow(_place({s: stats[s][0] for s in names}, seed), schema)
-    return slots.join(blocks, ["source", "block_index"]).select("shard", "slot", "source", "block_index", "round", "n_tokens", "pieces")
+    # both sides are spread by block; the slots, without texts, are the side that is hashed
+    return blocks.join(slots.hint("shuffle_hash"), ["source", "block_index"]).select("shard", "slot", "source", "block_index", "round", "n_tokens", "pieces")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
