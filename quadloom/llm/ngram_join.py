@@ -622,7 +622,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     sets = summaries(docs)
-    group = components(similar_sets(docs, sets))
+    # written, for the search for components reads the pairs from both ends
+    group = components(materialise(similar_sets(docs, sets).select("a", "b"), "pairs"))
     grouped = sets.select("key").groupBy("key").agg(F.count("*").alias("n")).join(group, "key", "left")
     several = materialise(grouped.where("n > 1 OR group IS NOT NULL").select("key", F.coalesce("group", "key").alias("group")), "several")
     files, n = key_filter(several.select("key"))
