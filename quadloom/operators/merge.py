@@ -42,9 +42,12 @@ def patterns(tables: list[tuple[Table, DataFrame]]) -> tuple[dict[frozenset, int
 
 
 def decide(tables: list[Table], counts: dict[frozenset, int], repeated: set[int]) -> list[tuple[int, int]]:
-    """Pairs (into, from) in the order in which they are merged; replayed on the counts alone."""
+    """Pairs (into, from) in the order in which they are merged; replayed on the counts alone.
+
+    A table with a repeated subject is left out, and so is one of constants only, which stores nothing as it is.
+    """
     size = {i: sum(n for of, n in counts.items() if i in of) for i in range(len(tables))}
-    order = sorted((i for i in range(len(tables)) if i not in repeated and size[i]), key=lambda i: merge_order(tables[i].name, size[i]))
+    order = sorted((i for i in range(len(tables)) if i not in repeated and size[i] and tables[i].physical()), key=lambda i: merge_order(tables[i].name, size[i]))
     has = {i: {p.predicate for p in tables[i].predicates} for i in order}
     left = dict(counts)
     out = []
@@ -77,7 +80,7 @@ def _joined(into: tuple[Table, DataFrame], source: tuple[Table, DataFrame]) -> t
         presence = names.get(p.presence) if p.presence else next((c.name for c in objects.physical() if c.part in ("langvalue", "litvalue", "id")), None)
         if presence is None:
             presence, mark = marker, True
-        predicates.append(replace(p, objects=objects, presence=presence))
+        predicates.append(replace(p, objects=objects, presence=presence, origin=p.origin or o.name))
     # a marker that `source` had from a merge before stays a stored column of its own
     carried = [p.presence for p in o.predicates if p.presence and p.presence not in names]
     predicates = [replace(new, presence=old.presence) if old.presence in carried else new for new, old in zip(predicates, o.predicates, strict=True)]
@@ -85,7 +88,7 @@ def _joined(into: tuple[Table, DataFrame], source: tuple[Table, DataFrame]) -> t
     made = keyed(df, t).join(right, F.col(KEY) == F.col("_other"), "left").drop(KEY, "_other")
     # within the rows that have the predicate, its columns have the nulls that they had
     whole = sorted({*t.facts.get("whole", ()), *(names[n] for n in o.facts.get("whole", ()) if n in names)})
-    return replace(t, predicates=(*t.predicates, *predicates)).with_facts(whole=whole), made
+    return replace(t, predicates=(*t.predicates, *predicates)).with_facts(whole=whole, took=[*t.facts.get("took", ()), o.name]), made
 
 
 def _rest(into: tuple[Table, DataFrame], source: tuple[Table, DataFrame]) -> DataFrame:

@@ -30,7 +30,7 @@ def to_turtle(tables: list[Table]) -> str:
     for t in sorted(tables, key=lambda x: x.name):
         lines = [f"[] a t:Table ; t:name {quote(t.name)} ; t:subjectKind {quote(t.subject_kind)} ; t:facts {quote(json.dumps(t.facts, sort_keys=True))} ; t:subject {_columns(t.subject)} ; t:predicates ("]
         for p in t.predicates:
-            more = "".join(f" ; t:{k} {quote(v)}" for k, v in (("lang", p.lang), ("datatype", p.datatype), ("presence", p.presence)) if v is not None)
+            more = "".join(f" ; t:{k} {quote(v)}" for k, v in (("lang", p.lang), ("datatype", p.datatype), ("presence", p.presence), ("origin", p.origin)) if v is not None)
             lines.append(f"  [ t:predicate {quote(p.predicate)} ; t:kind {quote(p.kind)}{more} ; t:objects {_columns(p.objects)} ]")
         out.append("\n".join(lines) + " ) .")
     return "\n".join(out) + "\n"
@@ -54,6 +54,6 @@ def from_turtle(text: str) -> list[Table]:
     out = []
     for n in nodes.values():
         if n.get(RDF + "type") == NS + "Table":
-            predicates = tuple(PredicateMap(p["predicate"], group(p["objects"]), p["kind"], p.get("lang"), p.get("datatype"), p.get("presence")) for p in items(n["predicates"]))
+            predicates = tuple(PredicateMap(p["predicate"], group(p["objects"]), p["kind"], p.get("lang"), p.get("datatype"), p.get("presence"), p.get("origin")) for p in items(n["predicates"]))
             out.append(Table(n["name"], group(n["subject"]), n["subjectKind"], predicates, json.loads(n["facts"])))
     return sorted(out, key=lambda t: t.name)

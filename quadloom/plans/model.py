@@ -43,7 +43,8 @@ class Group:
 
 @dataclass(frozen=True)
 class PredicateMap:
-    """`presence`: a row has this predicate only where that stored column isn't null (null: every row has it)."""
+    """`presence`: a row has this predicate only where that stored column isn't null (null: every row has it).
+    `origin`: the table that it was merged from."""
 
     predicate: str
     objects: Group
@@ -51,6 +52,7 @@ class PredicateMap:
     lang: str | None = None
     datatype: str | None = None
     presence: str | None = None
+    origin: str | None = None
 
 
 @dataclass(frozen=True)
@@ -93,8 +95,9 @@ def group_for(kind: str, side: str, predicate: str, lang: str | None = None, dat
 
 
 def graph_column(kind: str, predicate: str, lang: str | None, datatype: str | None) -> Col:
-    tail = {IRI: "iri", BNODE: "bnode"}.get(kind) or ("lang" if lang else naming.datatype_part(datatype or lexical.XSD + "string").lower() + "_datatype")
-    return Col(f"object_{predicate}_{tail}_graph", "graph", "GRAPH_IRIS")
+    # as in group_for, a datatype follows the predicate without a mark between them
+    tail = {IRI: "_iri", BNODE: "_bnode"}.get(kind) or ("_lang" if lang else naming.datatype_part(datatype or lexical.XSD + "string").lower() + "_datatype")
+    return Col(f"object_{predicate}{tail}_graph", "graph", "GRAPH_IRIS")
 
 
 def table_name(predicate: str, s_kind: str, o_kind: str, lang: str | None, datatype: str | None) -> str:

@@ -194,6 +194,7 @@ class Branch:
     df: DataFrame
     bound: dict[str, Bound]
     tables: dict[str, tuple] = field(default_factory=dict)  # table: subject's name, and the alias of its columns
+    subjects: list[tuple] = field(default_factory=list)  # variable, table, what it took from others, origin of the predicate
 
 
 def _renamed(g: Group, alias: str) -> Group:
@@ -322,7 +323,7 @@ def _branches(tables: list[tuple[Table, DataFrame]], pattern: tuple, graphs: tup
                 rows = rows.where(f)
             rows = rows.select(*[F.col(f"`{c}`").alias(alias + c) for c in df.columns])
             unique = t.facts.get("unique") and isinstance(subject, Var)
-            out.append(Branch(rows, {k: replace(b, group=_renamed(b.group, alias)) for k, b in bound.items()}, {t.name: (subject.name, alias, filters, p)} if unique else {}))
+            out.append(Branch(rows, {k: replace(b, group=_renamed(b.group, alias)) for k, b in bound.items()}, {t.name: (subject.name, alias, filters, p)} if unique else {}, [(subject.name, t.name, t.facts.get("took", ()), p.origin or t.name)] if isinstance(subject, Var) else []))
     return out
 
 
@@ -340,10 +341,10 @@ def _in_row(a: Branch, b: Branch, number: int) -> Branch | None:
                 moved = replace(x, group=Group(tuple(replace(c, name=alias + c.name[len(old) :]) for c in x.group.columns)))
                 if v in bound and v != subject:
                     if apart(bound[v], moved):
-                        return Branch(rows.where(F.lit(False)), bound, a.tables)
+                        return Branch(rows.where(F.lit(False)), bound, a.tables, a.subjects + b.subjects)
                     rows = rows.where(equal(bound[v], moved))
                 bound.setdefault(v, moved)
-            return Branch(rows, bound, a.tables)
+            return Branch(rows, bound, a.tables, a.subjects + b.subjects)
     return None
 
 
@@ -356,6 +357,11 @@ def _joined(a: Branch, b: Branch, number: int) -> Branch | None:
     shared = [v for v in b.bound if v in a.bound]
     if any(apart(a.bound[v], b.bound[v]) for v in shared):
         return None
+    # a table that took its subjects' rows from another left none of them there or in any other table
+    for va, ta, took_a, from_a in a.subjects:
+        for vb, tb, took_b, from_b in b.subjects:
+            if va == vb and ta != tb and (from_b in took_a or from_a in took_b):
+                return None
     if (one := _in_row(a, b, number)) is not None:
         return one
     on = None
@@ -363,7 +369,7 @@ def _joined(a: Branch, b: Branch, number: int) -> Branch | None:
         c = equal(a.bound[v], b.bound[v])
         on = c if on is None else on & c
     df = a.df.join(b.df, on) if on is not None else a.df.crossJoin(b.df)
-    return Branch(df, {**b.bound, **a.bound}, {**b.tables, **a.tables})
+    return Branch(df, {**b.bound, **a.bound}, {**b.tables, **a.tables}, a.subjects + b.subjects)
 
 
 def _order(patterns: tuple[tuple, ...]) -> list[tuple]:

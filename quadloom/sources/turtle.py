@@ -12,12 +12,13 @@ from quadloom.functions.lexical import RDF, XSD
 
 #: (s_kind, s, p, o_kind, o, o_dt, o_lang, g); g is None outside graph blocks.
 Quad = tuple
-_NAME = r"(?:[^\s\x00-\x2c/:;<=>?@\[\]\\^`{|}~]|\\[_~.\-!$&'()*+,;=/?#@%]|%[0-9A-Fa-f]{2}|-)"
+_NAME = r"(?:[^\s\x00-\x2c\x2e/:;<=>?@\[\]\\^`{|}~]|\\[_~.\-!$&'()*+,;=/?#@%]|%[0-9A-Fa-f]{2}|-)"
 _TOKEN = re.compile(
     r"(?P<skip>[ \t\r\n]+|\#[^\n]*)"
     r"|(?P<iri><[^<>\"{}|^`\x00-\x20]*>)"
     r'|(?P<long>"""(?:(?:"|"")?(?:[^"\\]|\\.))*"""' + r"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*''')"
-    r'|(?P<string>"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.)*\')'
+    # two quotes are an empty string only if no third follows: that would begin a long one
+    r'|(?P<string>"(?:[^"\\\n\r]|\\.)+"|""(?!")|\'(?:[^\'\\\n\r]|\\.)+\'|\'\'(?!\'))'
     r"|(?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)"
     r"|(?P<blank>_:[^\s\x00-\x2c:;<=>?@\[\]\\^`{|}~]*[^\s\x00-\x2e:;<=>?@\[\]\\^`{|}~])"
     rf"|(?P<name>(?:[^\W\d_][\w.\-]*)?:(?:(?:{_NAME}|[:.])*(?:{_NAME}|:))?)"

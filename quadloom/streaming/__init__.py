@@ -1 +1 @@
-"""See the package docstring."""
+"""Empty by intent: the engine is read-only and batch only, so there is no stream operator to offer."""
