@@ -68,9 +68,45 @@ def write_monoliths(pages: DataFrame, to: str) -> DataFrame:
     return materialise(rows.mapInArrow(_monolith(to), "file string, records long"), "monoliths")
 
 
+class _Inflated(io.RawIOBase):
+    """The bytes of all members of a gzip stream, up to where it ends or can't be read on; then `cut` says which."""
+
+    def __init__(self, source) -> None:
+        self.source, self.inflate, self.left, self.begun, self.cut = source, zlib.decompressobj(31), b"", False, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.cut:
+            if not self.left:
+                self.left = self.source.read(_PIECE)
+                if not self.left:
+                    self.cut = self.begun
+                    return 0
+            if self.inflate.eof:
+                # zeros may fill up a file behind its last member
+                self.left = self.left.lstrip(b"\0")
+                if not self.left:
+                    continue
+                self.inflate, self.begun = zlib.decompressobj(31), False
+            try:
+                data = self.inflate.decompress(self.left, len(into))
+            except zlib.error:
+                self.cut = True
+                return 0
+            self.left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.begun = not self.inflate.eof
+            if data:
+                into[: len(data)] = data
+                return len(data)
+        return 0
+
+
 def normalise_file(source, out) -> Iterator[tuple]:
     """Rewrites one stream; yields (record_no, offset, length, id, type, uri, bytes, md5, status)."""
-    inflated = io.BufferedReader(gzip.GzipFile(fileobj=source, mode="rb"), _PIECE)
+    raw = _Inflated(source)
+    inflated = io.BufferedReader(raw, _PIECE)
     offset = n = 0
     try:
         while True:
@@ -78,12 +114,16 @@ def normalise_file(source, out) -> Iterator[tuple]:
             while line in (b"\r\n", b"\n"):
                 line = inflated.readline(_PIECE)
             if not line:
+                if raw.cut:
+                    raise EOFError
                 return
             if not line.startswith(b"WARC/"):
                 yield n, offset, 0, None, None, None, 0, None, "garbage"
                 return
             head, fields = [line], {}
-            while (line := inflated.readline(_PIECE)) not in (b"\r\n", b"\n", b""):
+            while (line := inflated.readline(_PIECE)) not in (b"\r\n", b"\n"):
+                if not line:
+                    raise EOFError
                 head.append(line)
                 key, _, value = line.decode("utf-8", "replace").partition(":")
                 fields[key.strip().lower()] = value.strip()
@@ -103,7 +143,7 @@ def normalise_file(source, out) -> Iterator[tuple]:
             out.write(whole)
             yield n, offset, len(whole), fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), size, digest.hexdigest(), "ok"
             offset, n = offset + len(whole), n + 1
-    except (EOFError, zlib.error, gzip.BadGzipFile):
+    except EOFError:
         yield n, offset, 0, None, None, None, 0, None, "truncated"
 
 
