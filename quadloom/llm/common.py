@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -47,6 +47,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def carried(docs: DataFrame, **front: Column) -> DataFrame:
+    """`front` before all columns of docs, which are called c0, c1, ... so that no name of theirs meets another."""
+    return docs.select(*[c.alias(n) for n, c in front.items()], *[docs[f"`{n}`"].alias(f"c{i}") for i, n in enumerate(docs.columns)])
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI or an absolute path; what Spark calls file:/x is accepted."""
     if uri.startswith("file:"):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import prepare, table
+from quadloom.llm.common import carried, prepare, table
 
 #: An item is held if it can be had from the document's words by edits of so many of its words, as a share.
 EDITS = 0.2
@@ -215,7 +215,7 @@ def _search(ids: list, texts: list[str], names: list[str] | None):
                 elif held:
                     yield pa.RecordBatch.from_pydict({"doc_id": rest.column(0).take(pa.array([a + r[0] for r in held])), "item_id": [ids[r[1]] for r in held], "edits": [r[2] for r in held], "item_words": [len(items[r[1]]) for r in held], "first_word": [r[3] for r in held]}, _PAIRS)
             if names is not None:
-                yield rest.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(rest.columns, names=names).filter(pa.array(keep))
 
     return run
 
@@ -252,7 +252,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     out = docs
     for ids, texts in _passes(items):
-        keyed = out.select(out["text"].cast("string").alias("_text"), *[out[c] for c in docs.columns])
+        keyed = carried(out, search=out["text"].cast("string"))
         out = keyed.mapInArrow(_search(ids, texts, docs.columns), docs.schema)
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textkit
-from quadloom.llm.common import prepare, table
+from quadloom.llm.common import carried, prepare, table
 from quadloom.llm.tokenizers import VOCABULARIES, byte_pieces, piece_encoder
 
 #: Characters per token from, to; most byte-fallback share; entropy share from. The language bands were
@@ -123,7 +123,7 @@ def _rows(names: list[str], vocabularies: str, bands: dict, filtering: bool):
                     out.append(pa.table([pa.array(cpt), pa.array(share), pa.array(entropy), pa.array(tokens.astype(np.int64)), pa.array(script, pa.string()), pa.array(reason, pa.string())], names=[f"f{i}" for i in range(6)]))
             rest = batch.select(range(2, batch.num_columns))
             if filtering:
-                yield rest.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+                yield pa.RecordBatch.from_arrays(rest.columns, names=names).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
             elif out:
                 yield from pa.table([*rest.columns, *pa.concat_tables(out).columns], names=names).combine_chunks().to_batches()
 
@@ -131,8 +131,8 @@ def _rows(names: list[str], vocabularies: str, bands: dict, filtering: bool):
 
 
 def _inputs(docs: DataFrame) -> list:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return [F.col("text").cast("string").alias("_text"), lang.alias("_lang")]
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return [docs["text"].cast("string").alias("_text"), lang.alias("_lang")]
 
 
 def quality_features(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dict = BANDS) -> DataFrame:
@@ -152,7 +152,8 @@ def quality_features(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: d
 def quality_filter(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dict = BANDS) -> DataFrame:
     """Rows of `docs` that no rule rejects, with all their columns; cases as in quality_features."""
     prepare(docs.sparkSession)
-    rows = docs.select(*_inputs(docs), *[docs[c] for c in docs.columns])
+    text, lang = _inputs(docs)
+    rows = carried(docs, text=text, lang=lang)
     return rows.mapInArrow(_rows(docs.columns, vocabularies, bands, True), docs.schema)
 
 

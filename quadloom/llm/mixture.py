@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadloom.llm import textkit
-from quadloom.llm.common import materialise, prepare, table
+from quadloom.llm.common import carried, materialise, prepare, table
 
 BLOCK_TOKENS = 1_024
 SHARD_SLOTS = 512
@@ -138,8 +138,7 @@ def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame,
     source = F.coalesce(docs["source"].cast("string"), F.lit("")) if "source" in names else F.lit("")
     left, made, level, width = docs, None, 0, 0
     while True:
-        cols = [left[c] for c in names]
-        keyed = left.select(left["text"].cast("string").alias("_text"), source.alias("_source"), *cols) if level == 0 else left
+        keyed = carried(left, text=left["text"].cast("string"), source=source) if level == 0 else left
         packed = materialise(keyed.mapInArrow(_packer(arrow, names.index("text"), chars, block_tokens, width == 1), _pieces_type(schema)), "blocks").withColumn("level", F.lit(level))
         made = packed.where("seq >= 0") if made is None else made.unionByName(packed.where("seq >= 0"))
         if width == 1:
@@ -148,7 +147,7 @@ def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame,
         tails = packed.where("seq < 0").select("part", "source", F.explode("pieces").alias("p"))
         # tails of one source meet in one task, up to _FAN_IN of them
         left = tails.repartition(width, "source", F.floor(F.col("part") / _FAN_IN)) if width > 1 else tails.coalesce(1)
-        left = left.select(F.col("p.text").cast("string").alias("_text"), F.col("source").alias("_source"), *[F.col("p")[c].alias(c) for c in names])
+        left = left.select(F.col("p.text").cast("string").alias("text"), "source", *[F.col("p")[c].alias(f"c{i}") for i, c in enumerate(names)])
         level += 1
     counts = made.groupBy("source", "level", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("source").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)

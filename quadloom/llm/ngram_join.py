@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quadloom.llm import textkit
-from quadloom.llm.common import filesystem, materialise, prepare, publish, shared_dir, shuffle_width, table
+from quadloom.llm.common import carried, filesystem, materialise, prepare, publish, shared_dir, shuffle_width, table
 from quadloom.llm.pairing import _bits, _read_filter, by_shard, key_filter
 
 WORDS = 2
@@ -604,9 +604,8 @@ def _with_keys(files: list[str], n: int, names: list[str], hit: bool):
             maybe = key != 0
             for p in _bits(key, n):
                 maybe &= ((field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            rows = batch.select(range(1, batch.num_columns))
-            if hit:
-                rows = pa.RecordBatch.from_arrays([pa.array(key), *rows.columns], names=["_key", *names])
+            rest = batch.columns[1:]
+            rows = pa.RecordBatch.from_arrays([pa.array(key), *rest] if hit else rest, names=["_key", *names] if hit else names)
             yield rows.filter(pa.array(maybe if hit else ~maybe))
 
     return run
@@ -628,7 +627,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several = materialise(grouped.where("n > 1 OR group IS NOT NULL").select("key", F.coalesce("group", "key").alias("group")), "several")
     files, n = key_filter(several.select("key"))
     names = docs.columns
-    rows = docs.select(docs["text"].cast("string").alias("_text"), *[docs[c] for c in names])
+    rows = carried(docs, search=docs["text"].cast("string"))
     inner = S.StructType([S.StructField("_key", S.LongType()), *[S.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]])
     alone = rows.mapInArrow(_with_keys(files, n, names, False), docs.schema)
     maybe = rows.mapInArrow(_with_keys(files, n, [f"c{i}" for i in range(len(names))], True), inner)
