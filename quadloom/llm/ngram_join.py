@@ -38,7 +38,9 @@ DENSE = 16
 SKETCHES = 3
 #: Pivot sets that go to the workers at once, in bytes; more take several passes.
 PASS_BYTES = 24 << 20
+#: So many n-grams of their prefixes have two similar sets in common, and a share of the smaller set's size if that is more.
 PREFIX_MATCHES = 4
+PREFIX_SHARE = 1 / 16
 #: N-grams of so many documents are put last, in order of their number of documents. The bound is doubled
 #: until the list of them has at most FREQUENT_BYTES; it decides on the order only, never on results.
 FREQUENT = 12
@@ -349,6 +351,15 @@ def _join_cell(cell: pa.Table) -> pa.Table:
 
 # --- sets with no pivot near: regions of radius 0 -----------------------------------------------------
 
+
+def prefix_matches(size: np.ndarray) -> np.ndarray:
+    """How many n-grams beyond the shortest prefix a set of this size adds; two similar sets share the lesser of theirs.
+
+    Sets of `size` that are similar have at least T * size in common; smaller ones can't share more than that.
+    """
+    return np.minimum(np.maximum(PREFIX_MATCHES, size * PREFIX_SHARE), np.ceil(T * size - _EPS)).astype(np.int64)
+
+
 _POSTING = pa.schema([("shard", pa.int32()), ("gram", pa.binary()), ("key", pa.binary()), ("size", pa.binary())])
 _BIG = 65_535
 
@@ -377,7 +388,7 @@ def _postings(shards: int, frequent: str, pivots: list[tuple[int, bytes]]):
                 # rare first, then by fingerprint, within each document
                 order = np.lexsort((fp, rank, doc))
                 place = np.arange(len(fp)) - np.repeat(np.cumsum(size) - size, size)
-                prefix = size - np.ceil(T * size - _EPS).astype(np.int64) + PREFIX_MATCHES
+                prefix = size - np.ceil(T * size - _EPS).astype(np.int64) + prefix_matches(size)
                 take = order[place < prefix[doc]]
                 held.append([gram[take], key[doc[take]], np.minimum(size[doc[take]], _BIG).astype(np.uint16)])
                 total += len(take)
@@ -396,7 +407,7 @@ def _send(held: list, shards: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[i] for _, r in rows], pa.binary()) for i in range(3)]], schema=_POSTING)
 
 
-_COUNTED = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "n", "need")]])
 
 
 def _pair_up(shards: int):
@@ -425,14 +436,14 @@ def _pair_up(shards: int):
         stop = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
         after = stop - np.arange(n) - 1  # partners that follow in the same group
         ends = np.cumsum(after)
-        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sums: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            a, b, c = (np.concatenate(x) for x in zip(*sums, strict=True))
+        def merged() -> tuple[np.ndarray, ...]:
+            a, b, c, need = (np.concatenate(x) for x in zip(*sums, strict=True))
             order = np.lexsort((b, a))
-            a, b, c = a[order], b[order], c[order]
+            a, b, c, need = a[order], b[order], c[order], need[order]
             edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[edge], b[edge], np.add.reduceat(c, edge)
+            return a[edge], b[edge], np.add.reduceat(c, edge), need[edge]
 
         i = 0
         while i < n:
@@ -441,36 +452,34 @@ def _pair_up(shards: int):
             y = textkit.ragged(np.arange(i, j) + 1, after[i:j])
             lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             ok = (lo >= T * hi - _EPS) | (hi == _BIG)
-            x, y, hi = x[ok], y[ok], hi[ok]
-            # sets too small to share PREFIX_MATCHES need only what they can share
-            need = np.minimum(PREFIX_MATCHES, np.ceil(T * hi - _EPS)).astype(np.int64)
+            x, y, lo = x[ok], y[ok], lo[ok]
             if len(x):
-                sums.append((key[x], key[y], (1 + PREFIX_MATCHES - need).astype(np.int64)))
+                sums.append((key[x], key[y], np.ones(len(x), np.int64), prefix_matches(lo)))
                 if sum(len(s[0]) for s in sums) > 8_000_000:
                     sums[:] = [merged()]
             i = j
         if not sums:
             return
-        a, b, c = merged()
+        a, b, c, need = merged()
         shard = (((textkit.mix(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64))) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        rows = list(by_shard(shard, [a, b, np.minimum(c, 255).astype(np.uint8)]))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[k] for _, r in rows], pa.binary()) for k in range(3)]], schema=_COUNTED)
+        rows = list(by_shard(shard, [a, b, np.minimum(c, 65_535).astype(np.uint16), need.astype(np.uint16)]))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[k] for _, r in rows], pa.binary()) for k in range(4)]], schema=_COUNTED)
 
     return run
 
 
 def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[bytes]] = [[], [], []]
+    held: list[list[bytes]] = [[] for _ in range(4)]
     for batch in batches:
-        for i in range(3):
+        for i in range(4):
             held[i] += batch.column(i + 1).to_pylist()
-    a, b, n = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<i8", "u1"), strict=True))
+    a, b, n, need = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<i8", "<u2", "<u2"), strict=True))
     if not len(a):
         return
     order = np.lexsort((b, a))
-    a, b, n = a[order], b[order], n[order].astype(np.int64)
+    a, b, n, need = a[order], b[order], n[order].astype(np.int64), need[order]
     edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    keep = np.add.reduceat(n, edge) >= PREFIX_MATCHES
+    keep = np.add.reduceat(n, edge) >= need[edge]
     a, b = a[edge][keep], b[edge][keep]
     for s in range(0, len(a), 100_000):
         yield pa.RecordBatch.from_pydict({"a": a[s : s + 100_000], "b": b[s : s + 100_000]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -543,7 +552,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         found = one if found is None else found.unionAll(one)
     # sets at home in the last pass are left out here; those of other passes may be met twice
     counted = texts.mapInArrow(_postings(shards, _frequent_list(texts, shards), last_pivots), "shard int, gram binary, key binary, size binary")
-    raw = counted.repartitionById(shards, F.col("shard")).mapInArrow(_pair_up(shards), "shard int, a binary, b binary, n binary")
+    raw = counted.repartitionById(shards, F.col("shard")).mapInArrow(_pair_up(shards), "shard int, a binary, b binary, n binary, need binary")
     pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(_enough, "a long, b long"), "set-pairs")
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
     some = texts.mapInArrow(_some_sets(*key_filter(keys)), "key long, fps binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
