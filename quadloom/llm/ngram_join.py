@@ -58,6 +58,18 @@ def set_keys(fp: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np
     return np.where(size > 0, key | np.uint64(1), 0).view(np.int64), size
 
 
+def _packed(fp: np.ndarray) -> bytes:
+    """A set in 6 bytes an element, as fingerprints have 48 bits."""
+    return np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : textkit.FP_BITS // 8]).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, textkit.FP_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u8").reshape(-1)
+
+
 def _sets(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     column = textkit.text(batch_column)
     for a, b in textkit.slices(column):
@@ -208,7 +220,7 @@ def _pick(keys: frozenset):
                 begin = np.cumsum(size) - size
                 at = np.flatnonzero(np.isin(key, wanted))
                 if len(at):
-                    yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [fp[begin[i] : begin[i] + size[i]].tobytes() for i in at]}, schema)
+                    yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in at]}, schema)
 
     return run
 
@@ -240,7 +252,7 @@ class _Diagram:
 
     def __init__(self, pivots: list[tuple[int, bytes]]) -> None:
         self.names = np.array([k for k, _ in pivots], np.int64)
-        sets = [np.frombuffer(s, "<u8") for _, s in pivots]
+        sets = [_unpacked(s) for _, s in pivots]
         self.sizes = np.array([len(s) for s in sets])
         self.index = _inverted(sets)
 
@@ -273,7 +285,7 @@ def _regions(pivots: list[tuple[int, bytes]]):
                 begin = np.cumsum(size) - size
                 for s in range(0, len(d), 2000):
                     k = slice(s, s + 2000)
-                    yield pa.RecordBatch.from_pydict({"pivot": diagram.names[p[k]], "key": key[d[k]], "home": home[k], "fps": [fp[begin[i] : begin[i] + size[i]].tobytes() for i in d[k]]}, _CELL)
+                    yield pa.RecordBatch.from_pydict({"pivot": diagram.names[p[k]], "key": key[d[k]], "home": home[k], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in d[k]]}, _CELL)
 
     return run
 
@@ -342,7 +354,7 @@ def _join_cell(cell: pa.Table) -> pa.Table:
     key, first = np.unique(key, return_index=True)  # equal sets count once
     home = cell["home"].to_numpy()[first]
     fps = cell["fps"].combine_chunks() if cell.num_rows else cell["fps"]
-    sets = [np.frombuffer(fps[int(i)].as_buffer(), "<u8") for i in first]
+    sets = [_unpacked(fps[int(i)].as_buffer()) for i in first]
     rows = join_region(sets, np.flatnonzero(home), np.flatnonzero(~home))
     a, b, s = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, int),) * 3
     x, y = key[a], key[b]
@@ -497,7 +509,7 @@ def _some_sets(files: list[str], n: int):
                     keep &= ((field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 begin = np.cumsum(size) - size
                 at = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [fp[begin[i] : begin[i] + size[i]].tobytes() for i in at]}, pa.schema([("key", pa.int64()), ("fps", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in at]}, pa.schema([("key", pa.int64()), ("fps", pa.binary())]))
 
     return run
 
@@ -508,7 +520,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = batch.column(2), batch.column(3)
         alike = np.zeros(len(a))
         for i in range(len(a)):
-            p, q = np.frombuffer(x[i].as_buffer(), "<u8"), np.frombuffer(y[i].as_buffer(), "<u8")
+            p, q = _unpacked(x[i].as_buffer()), _unpacked(y[i].as_buffer())
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
