@@ -374,6 +374,9 @@ def prefix_matches(size: np.ndarray) -> np.ndarray:
 
 _POSTING = pa.schema([("shard", pa.int32()), ("gram", pa.binary()), ("key", pa.binary()), ("size", pa.binary())])
 _BIG = 65_535
+#: Pairs that are looked at in one step, and that wait to be added up.
+_PAIRS_STEP = 1_000_000
+_PAIRS_HELD = 3_000_000
 
 
 def _postings(shards: int, frequent: str, pivots: list[tuple[int, bytes]]):
@@ -449,32 +452,37 @@ def _pair_up(shards: int):
         after = stop - np.arange(n) - 1  # partners that follow in the same group
         ends = np.cumsum(after)
         sums: list[tuple[np.ndarray, ...]] = []
+        waiting, least = 0, _PAIRS_HELD
 
         def merged() -> tuple[np.ndarray, ...]:
             a, b, c, need = (np.concatenate(x) for x in zip(*sums, strict=True))
             order = np.lexsort((b, a))
             a, b, c, need = a[order], b[order], c[order], need[order]
             edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[edge], b[edge], np.add.reduceat(c, edge), need[edge]
+            return a[edge], b[edge], np.minimum(np.add.reduceat(c.astype(np.int64), edge), 65_535).astype(np.uint16), need[edge]
 
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 4_000_000, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS_STEP, "right")))
             x = np.repeat(np.arange(i, j), after[i:j])
             y = textkit.ragged(np.arange(i, j) + 1, after[i:j])
             lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             ok = (lo >= T * hi - _EPS) | (hi == _BIG)
             x, y, lo = x[ok], y[ok], lo[ok]
             if len(x):
-                sums.append((key[x], key[y], np.ones(len(x), np.int64), prefix_matches(lo)))
-                if sum(len(s[0]) for s in sums) > 8_000_000:
+                sums.append((key[x], key[y], np.ones(len(x), np.uint16), prefix_matches(lo).astype(np.uint16)))
+                waiting += len(x)
+                if waiting > least:
                     sums[:] = [merged()]
+                    # what is merged is as large again before it is merged once more
+                    waiting = 0
+                    least = max(_PAIRS_HELD, len(sums[0][0]))
             i = j
         if not sums:
             return
         a, b, c, need = merged()
         shard = (((textkit.mix(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64))) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        rows = list(by_shard(shard, [a, b, np.minimum(c, 65_535).astype(np.uint16), need.astype(np.uint16)]))
+        rows = list(by_shard(shard, [a, b, c, need]))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[k] for _, r in rows], pa.binary()) for k in range(4)]], schema=_COUNTED)
 
     return run
