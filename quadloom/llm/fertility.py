@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, prepare, table
+from quadloom.llm.common import carried, lean, prepare, table
 from quadloom.llm.tokenizers import VOCABULARIES, byte_pieces, piece_encoder
 
 #: Characters per token from, to; most byte-fallback share; entropy share from. The language bands were
@@ -146,7 +146,7 @@ def quality_features(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: d
     rest = T.StructType([T.StructField("doc_id", T.LongType())])
     schema = T.StructType([*rest.fields, *T._parse_datatype_string(_FEATURES).fields])
     rows = docs.select(*_inputs(docs), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(_rows(schema.names, vocabularies, bands, False), schema)
+    return rows.mapInArrow(lean(_rows(schema.names, vocabularies, bands, False)), schema)
 
 
 def quality_filter(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dict = BANDS) -> DataFrame:
@@ -154,7 +154,7 @@ def quality_filter(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dic
     prepare(docs.sparkSession)
     text, lang = _inputs(docs)
     rows = carried(docs, text=text, lang=lang)
-    return rows.mapInArrow(_rows(docs.columns, vocabularies, bands, True), docs.schema)
+    return rows.mapInArrow(lean(_rows(docs.columns, vocabularies, bands, True)), docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, filesystem, materialise, prepare, publish, shared_dir, shuffle_width, table
+from quadloom.llm.common import carried, filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
 from quadloom.llm.pairing import _bits, _read_filter, by_shard, key_filter
 
 WORDS = 2
@@ -168,8 +168,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent_list(docs: DataFrame, shards: int) -> str:
     """Writes the frequent n-grams, sorted, with their number of documents; returns the file."""
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_count(shards), "shard int, once binary, more binary, count binary")
-    rows = materialise(counted.repartitionById(shards, F.col("shard")).mapInArrow(_frequent, "shard int, keys binary, counts binary"), "frequent")
+    counted = docs.select("text").mapInArrow(lean(_count(shards)), "shard int, once binary, more binary, count binary")
+    rows = materialise(counted.repartitionById(shards, F.col("shard")).mapInArrow(lean(_frequent), "shard int, keys binary, counts binary"), "frequent")
     # a task joins the shards in order, so nothing of this passes through the driver
     to = posixpath.join(shared_dir(spark, "frequent-list"), "list")
 
@@ -194,7 +194,7 @@ def _frequent_list(docs: DataFrame, shards: int) -> str:
         publish(fs, tmp, path)
         yield pa.RecordBatch.from_pydict({"n": [len(k)]})
 
-    rows.coalesce(1).mapInArrow(join, "n long").collect()
+    rows.coalesce(1).mapInArrow(lean(join), "n long").collect()
     return to
 
 
@@ -549,7 +549,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def summaries(docs: DataFrame) -> DataFrame:
     """key, doc_id, size and sketches of each document with words; written to the shared folder."""
     prepare(docs.sparkSession)
-    return materialise(_texts(docs).mapInArrow(_summary, _SUMMARY_SQL), "sets")
+    return materialise(_texts(docs).mapInArrow(lean(_summary), _SUMMARY_SQL), "sets")
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -565,19 +565,19 @@ def similar_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     passes, found, last_pivots = -(-total // PASS_BYTES), None, []
     for i in range(passes):
         names = frozenset(r["key"] for r in pivots.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i).select("key").collect())
-        rows = texts.mapInArrow(_pick(names), "key long, fps binary").dropDuplicates(["key"]).orderBy("key").collect()
+        rows = texts.mapInArrow(lean(_pick(names)), "key long, fps binary").dropDuplicates(["key"]).orderBy("key").collect()
         last_pivots = [(r["key"], bytes(r["fps"])) for r in rows]
-        cells = texts.mapInArrow(_regions(last_pivots), "pivot long, key long, home boolean, fps binary")
+        cells = texts.mapInArrow(lean(_regions(last_pivots)), "pivot long, key long, home boolean, fps binary")
         one = cells.groupBy("pivot").applyInArrow(_join_cell, _PAIR_SQL)
         found = one if found is None else found.unionAll(one)
     # sets at home in the last pass are left out here; those of other passes may be met twice
-    counted = texts.mapInArrow(_postings(shards, _frequent_list(texts, shards), last_pivots), "shard int, gram binary, key binary, size binary")
-    raw = counted.repartitionById(shards, F.col("shard")).mapInArrow(_pair_up(shards), "shard int, a binary, b binary, n binary, need binary")
-    pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(_enough, "a long, b long"), "set-pairs")
+    counted = texts.mapInArrow(lean(_postings(shards, _frequent_list(texts, shards), last_pivots)), "shard int, gram binary, key binary, size binary")
+    raw = counted.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), "shard int, a binary, b binary, n binary, need binary")
+    pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(lean(_enough), "a long, b long"), "set-pairs")
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    some = texts.mapInArrow(_some_sets(*key_filter(keys)), "key long, fps binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    some = texts.mapInArrow(lean(_some_sets(*key_filter(keys))), "key long, fps binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
     left, right = (some.select(F.col("key").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
-    last = pairs.join(right, "b").join(left, "a").select("a", "b", "fps_a", "fps_b").mapInArrow(_verify, _PAIR_SQL)
+    last = pairs.join(right, "b").join(left, "a").select("a", "b", "fps_a", "fps_b").mapInArrow(lean(_verify), _PAIR_SQL)
     return last if found is None else found.unionAll(last).dropDuplicates(["a", "b"])
 
 
@@ -658,8 +658,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = carried(docs, search=docs["text"].cast("string"))
     inner = S.StructType([S.StructField("_key", S.LongType()), *[S.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]])
-    alone = rows.mapInArrow(_with_keys(files, n, names, False), docs.schema)
-    maybe = rows.mapInArrow(_with_keys(files, n, [f"c{i}" for i in range(len(names))], True), inner)
+    alone = rows.mapInArrow(lean(_with_keys(files, n, names, False)), docs.schema)
+    maybe = rows.mapInArrow(lean(_with_keys(files, n, [f"c{i}" for i in range(len(names))], True)), inner)
     maybe = maybe.join(several, maybe["_key"] == several["key"], "left")
     chosen = F.struct(F.col(f"c{names.index('doc_id')}").isNull(), f"c{names.index('doc_id')}", f"c{names.index('text')}", "_tie")
     maybe = maybe.withColumn("_tie", F.monotonically_increasing_id())
