@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quadloom.operators import terms
 from quadloom.operators.rewrites import merge_order
 from quadloom.plans.model import Col, Group, Table
+from quadloom.session import written
 
 KEY = "_subject"
+_INTO = "_into"
 
 
 def keyed(df: DataFrame, t: Table) -> DataFrame:
@@ -97,18 +99,34 @@ def _rest(into: tuple[Table, DataFrame], source: tuple[Table, DataFrame]) -> Dat
     return keyed(source[1], source[0]).join(subjects, KEY, "left_anti").drop(KEY)
 
 
+def _routed(source: tuple[Table, DataFrame], targets: dict[int, tuple[Table, DataFrame]]) -> DataFrame:
+    """Rows of `source` with the position of the first of `targets` that has their subject, null if none has: one join for all."""
+    owners = None
+    for n, (t, df) in enumerate(targets.values()):
+        one = keyed(df, t).select(KEY, F.lit(n).alias(_INTO))
+        owners = one if owners is None else owners.unionAll(one)
+    owners = owners.groupBy(KEY).agg(F.min(_INTO).alias(_INTO))
+    return written(keyed(source[1], source[0]).join(owners, KEY, "left"), "routed")
+
+
 def merge(tables: list[tuple[Table, DataFrame]]) -> list[tuple[Table, DataFrame]]:
     """Merges what overlaps; what doesn't match stays behind in its own table, and tables left empty go."""
     if len(tables) < 2:
         return tables
     counts, repeated = patterns(tables)
     now = {i: x for i, x in enumerate(tables)}
+    pairs = decide([t for t, _ in tables], counts, repeated)
+    routed: dict[int, DataFrame] = {}
+    for into, source in pairs:
+        if source not in routed:
+            # a table is merged from before it is merged into, and subjects never change, so all its rows can be routed at once
+            routed[source] = _routed(now[source], {i: tables[i] for i, s in pairs if s == source})
+            now[source] = (now[source][0], routed[source].where(F.col(_INTO).isNull()).drop(KEY, _INTO))
+        part = routed[source].where(F.col(_INTO) == list(i for i, s in pairs if s == source).index(into)).drop(KEY, _INTO)
+        now[into] = _joined(now[into], (now[source][0], part))
     left = {i: sum(n for of, n in counts.items() if i in of) for i in now}
     remaining = dict(counts)
-    for into, source in decide([t for t, _ in tables], counts, repeated):
-        rest = _rest(now[into], now[source])
-        now[into] = _joined(now[into], now[source])
-        now[source] = (now[source][0], rest)
+    for into, source in pairs:
         for of, n in list(remaining.items()):
             if into in of and source in of:
                 del remaining[of]
