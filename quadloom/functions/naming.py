@@ -13,7 +13,7 @@ from quadloom.functions.lexical import RDF, RDFS, XSD
 
 GEO = "http://www.opengis.net/ont/geosparql#"
 CORE = (("xsd", XSD), ("rdf", RDF), ("geo", GEO))
-DEFAULT_NAMESPACES = {"up": "http://purl.uniprot.org/core/", "rdf": RDF, "rdfs": RDFS, "xsd": XSD}
+DEFAULT_NAMESPACES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD}
 
 
 def clean(name: str) -> str:
