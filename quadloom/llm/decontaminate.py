@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, prepare, table
+from quadloom.llm.common import carried, lean, prepare, table
 
 #: An item is held if it can be had from the document's words by edits of so many of its words, as a share.
 EDITS = 0.2
@@ -242,7 +242,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     out = None
     for ids, texts in _passes(items):
-        one = rows.mapInArrow(_search(ids, texts, None), "doc_id long, item_id long, edits int, item_words int, first_word long")
+        one = rows.mapInArrow(lean(_search(ids, texts, None)), "doc_id long, item_id long, edits int, item_words int, first_word long")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -253,7 +253,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = docs
     for ids, texts in _passes(items):
         keyed = carried(out, search=out["text"].cast("string"))
-        out = keyed.mapInArrow(_search(ids, texts, docs.columns), docs.schema)
+        out = keyed.mapInArrow(lean(_search(ids, texts, docs.columns)), docs.schema)
     return out
 
 

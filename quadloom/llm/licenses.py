@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import prepare, table
+from quadloom.llm.common import lean, prepare, table
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
@@ -188,7 +188,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     passes = [list(range(i, min(i + TEMPLATES_A_PASS, len(templates)))) for i in range(0, len(templates), TEMPLATES_A_PASS)] or [[]]
     out = None
     for part in passes:
-        one = rows.mapInArrow(_finder(tuple(templates[i] for i in part), part), schema)
+        one = rows.mapInArrow(lean(_finder(tuple(templates[i] for i in part), part)), schema)
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, materialise, prepare, table
+from quadloom.llm.common import carried, lean, materialise, prepare, table
 
 BLOCK_TOKENS = 1_024
 SHARD_SLOTS = 512
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame,
     left, made, level, width = docs, None, 0, 0
     while True:
         keyed = carried(left, text=left["text"].cast("string"), source=source) if level == 0 else left
-        packed = materialise(keyed.mapInArrow(_packer(arrow, names.index("text"), chars, block_tokens, width == 1), _pieces_type(schema)), "blocks").withColumn("level", F.lit(level))
+        packed = materialise(keyed.mapInArrow(lean(_packer(arrow, names.index("text"), chars, block_tokens, width == 1)), _pieces_type(schema)), "blocks").withColumn("level", F.lit(level))
         made = packed.where("seq >= 0") if made is None else made.unionByName(packed.where("seq >= 0"))
         if width == 1:
             break
@@ -241,7 +241,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     total = (sum(n for n, _ in stats.values()) if total_blocks is None else total_blocks) if target else 0
     shards = math.ceil(total / shard_slots)
     names = sorted(target)
-    counts = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_draw(names, [target[s] for s in names], shard_slots, total, seed), "shard long, source string, n long")
+    counts = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(lean(_draw(names, [target[s] for s in names], shard_slots, total, seed)), "shard long, source string, n long")
     counts = materialise(counts, "draws")
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import filesystem, materialise, prepare, publish, shared_dir, shuffle_width, table
+from quadloom.llm.common import filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
 
 ORDERS = 3
 #: N-grams of two and more words that occur less often are left out of the model and scored by backing off.
@@ -198,8 +198,8 @@ def build_model(docs: DataFrame) -> dict:
     prepare(spark)
     shards = shuffle_width(spark)
     to = shared_dir(spark, "ngrams")
-    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counter(shards), _PACKED_SQL)
-    parts = packed.repartitionById(shards, F.col("shard")).mapInArrow(_builder(to), "shard int, bytes long, words long, vocabulary long")
+    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(_counter(shards)), _PACKED_SQL)
+    parts = packed.repartitionById(shards, F.col("shard")).mapInArrow(lean(_builder(to)), "shard int, bytes long, words long, vocabulary long")
     # one row a shard reaches the driver
     rows = materialise(parts, "ngram-parts").collect()
     return {"folder": to, "shards": shards, "bytes": {r["shard"]: r["bytes"] for r in rows}, "words": sum(r["words"] for r in rows), "vocabulary": sum(r["vocabulary"] for r in rows)}
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     if sum(model["bytes"].values()) <= BROADCAST_BYTES:
         sent = spark.sparkContext.broadcast({s: _part(model["folder"], s).tobytes() for s in model["bytes"]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model, sent), "doc_id long, n_words long, log_probability double, perplexity double")
+    return rows.mapInArrow(lean(_scorer(model, sent)), "doc_id long, n_words long, log_probability double, perplexity double")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

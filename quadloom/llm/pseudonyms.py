@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import prepare, table
+from quadloom.llm.common import lean, prepare, table
 
 #: Stands in where no key is given; whoever has the key can undo the pseudonyms.
 DEMO_KEY = "a key of your own"
@@ -249,7 +249,7 @@ def pseudonymise_documents(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_rewriter(_secret(key)), "doc_id long, text string, n_values long")
+    return rows.mapInArrow(lean(_rewriter(_secret(key))), "doc_id long, text string, n_values long")
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

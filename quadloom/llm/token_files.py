@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import filesystem, prepare, publish, shared_dir, table
+from quadloom.llm.common import filesystem, lean, prepare, publish, shared_dir, table
 from quadloom.llm.tokenizers import VOCABULARIES, byte_bpe_encoder
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("ordinal", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64())])
@@ -69,7 +69,7 @@ def token_files(docs: DataFrame, to: str, vocabularies: str = VOCABULARIES) -> D
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = rows.mapInArrow(_writer(to, vocabularies), "doc_id long, part int, ordinal long, local_start long, n_tokens long")
+    index = rows.mapInArrow(lean(_writer(to, vocabularies)), "doc_id long, part int, ordinal long, local_start long, n_tokens long")
     index.write.mode("overwrite").parquet(f"{to}/index")
     index = spark.read.parquet(f"{to}/index")
     # one row a file: the window over all of them is as small as the list of files
