@@ -244,6 +244,32 @@ def test_passages_over_the_small_table(spark, sf):
     assert want and len(want & got) >= 0.9 * len(want)
 
 
+def _covered(spark, rows):
+    """By document the words that lie in reported passages."""
+    out = {}
+    for r in passages.shared_passages(make(spark, rows)).collect():
+        out.setdefault(r["doc_a"], set()).update(range(r["first_a"], r["end_a"]))
+        out.setdefault(r["doc_b"], set()).update(range(r["first_b"], r["end_b"]))
+    return out
+
+
+def test_long_near_copies_and_passages_of_long_documents(spark):
+    """Common runs that lie elsewhere by chance take nothing from a passage."""
+    rows = []
+    for k, n in enumerate((5000, 8000, 20_000)):
+        w = prose(400 + k, n).split()
+        for at in range(0, n // 2, 700):  # phrases that come again further on
+            w[n - 600 - at // 8 : n - 597 - at // 8] = w[at : at + 3]
+        text = " ".join(w)
+        rows += [(10 * k, text), (10 * k + 1, _edited(text, 0.03, k))]
+    shared = prose(450, 200)
+    rows += [(100, f"{prose(451, 6000)} {shared} {prose(452, 3000)}"), (101, f"{prose(453, 500)} {shared} {prose(454, 9000)}")]
+    got, size = _covered(spark, rows), {i: len(words(t)) for i, t in rows}
+    for i, _ in rows[:-2]:
+        assert len(got.get(i, ())) >= 0.95 * size[i]
+    assert got[100] >= set(range(6000, 6200)) and got[101] >= set(range(500, 700))
+
+
 def test_passages_odd(spark, odd, nothing):
     rows = passages.shared_passages(odd).collect()
     assert {(r["doc_a"], r["doc_b"]) for r in rows} <= {(a, b) for a in (5, 6, None) for b in (5, 6, None) if a != b}
