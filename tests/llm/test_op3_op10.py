@@ -270,6 +270,22 @@ def test_long_near_copies_and_passages_of_long_documents(spark):
     assert got[100] >= set(range(6000, 6200)) and got[101] >= set(range(500, 700))
 
 
+def test_passages_that_repeat_within_a_document(spark):
+    """Each copy is reported, at whatever shift it lies."""
+    rows, want = [], {}
+    for k in range(12):
+        text = prose(500 + k, 60 + 5 * k)
+        n = 60 + 5 * k
+        rows.append((2 * k, f"{prose(600 + k, 100)} {text} {prose(620 + k, 30 * (k % 3))} {text} {prose(640 + k, 50)} {text}"))
+        rows.append((2 * k + 1, f"{text} {text} {prose(660 + k, 80)}" if k % 2 else f"{prose(680 + k, 40)} {text}"))
+        second = 100 + n + 30 * (k % 3)
+        want[2 * k] = {x for at in (100, second, second + n + 50) for x in range(at, at + n)}
+        want[2 * k + 1] = set(range(2 * n)) if k % 2 else set(range(40, 40 + n))
+    got = _covered(spark, rows)
+    for i, places in want.items():
+        assert got.get(i, set()) >= places
+
+
 def test_passages_odd(spark, odd, nothing):
     rows = passages.shared_passages(odd).collect()
     assert {(r["doc_a"], r["doc_b"]) for r in rows} <= {(a, b) for a in (5, 6, None) for b in (5, 6, None) if a != b}
