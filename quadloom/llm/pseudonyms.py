@@ -178,18 +178,22 @@ def _hex(s: str, key: bytes) -> str | None:
 
 
 _KINDS = {"mail": _mail, "iban": _iban, "hex": _hex, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+_PARTS = {
+    "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "hex": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4}",
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9](?:[ .()-]{0,2}[0-9]){7,13}",
+}
 _PATTERN = re.compile(
-    r"(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,})"
-    r"|(?<![A-Za-z0-9])(?:"
-    r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<hex>[0-9a-f]{32,64}|[0-9A-F]{32,64})"
-    r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9](?:[ .()-]{0,2}[0-9]){7,13})"
-    r")(?![A-Za-z0-9])"
+    rf"(?P<mail>{_PARTS['mail']})|(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in _PARTS.items() if k != "mail") + r")(?![A-Za-z0-9])"
 )
+_LETTER = re.compile("[A-Za-z0-9]")
+#: No value but a mail address is longer.
+_LONGEST = 64
 #: A text without any of these cannot hold a value.
 _HINT = r"[0-9]|@"
 
@@ -200,22 +204,39 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _KINDS[kind](value, key)
 
 
+#: A reading that fails its check may hold a value that ends sooner, or one that begins after its first group.
+_GROUP = re.compile(r"[0-9A-Za-z]+")
+_WHOLE = {k: re.compile(p) for k, p in _PARTS.items()}
+
+
+def _readings(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """Kind and end of all readings that begin where `m` does: its own, then those of each kind that end sooner or later."""
+    begin = m.start()
+    yield m.lastgroup, m.end()
+    ends = [g.end() for g in _GROUP.finditer(text, begin, min(len(text), begin + _LONGEST))]
+    for kind, whole in _WHOLE.items():
+        if kind != "mail":
+            for end in reversed(ends):
+                if (kind, end) != (m.lastgroup, m.end()) and (end == len(text) or not _LETTER.match(text[end])) and whole.fullmatch(text, begin, end):
+                    yield kind, end
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
     """The text with all valid values replaced, and how many they are."""
-    n = 0
-
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        new = pseudonym(m.lastgroup, m.group(m.lastgroup), key)
-        if new is None:
-            return m.group()
-        n += 1
-        return new
-
-    out = _PATTERN.sub(swap, text)
-    return out, n
+    n, at, done, out = 0, 0, 0, []
+    while m := _PATTERN.search(text, at):
+        begin = m.start()
+        for kind, end in _readings(text, m):
+            new = pseudonym(kind, text[begin:end], key)
+            if new is not None:
+                out += [text[done:begin], new]
+                n, at, done = n + 1, end, end
+                break
+        else:
+            # on after the first group, not after the whole of it
+            group = _GROUP.search(text, begin, m.end())
+            at = group.end() if group else m.end()
+    return "".join([*out, text[done:]]), n
 
 
 def _secret(key: str) -> bytes:

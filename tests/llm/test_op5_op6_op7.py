@@ -117,6 +117,20 @@ def test_what_is_not_valid_stays(text):
     assert pseudonyms.pseudonymise(text, KEY) == (text, 0)
 
 
+@pytest.mark.parametrize(
+    ("text", "n", "rest"),
+    [
+        ("4111111111111111 123", 1, " 123"), ("4111 1111 1111 1111 12/27", 1, " 12/27"), ("4111111111111111 192.168.10.7", 2, None), ("123 4111111111111111", 1, None),
+        ("4111 1111 1111 1112 5500-0000-0000-0004", 1, None), ("DE89 3704 0044 0532 0130 00 123", 1, " 123"), ("4111111111111111 1984-02-29", 2, None),
+    ],
+)
+def test_values_beside_other_numbers(text, n, rest):
+    new, got = pseudonyms.pseudonymise(text, KEY)
+    assert got == n and (rest is None or new.endswith(rest))
+    for value in ("4111111111111111", "4111 1111 1111 1111 ", "192.168.10.7", "5500-0000-0000-0004", "DE89 3704 0044 0532 0130 00", "1984-02-29"):
+        assert value not in new
+
+
 def test_pseudonyms_link_documents(spark, odd, nothing):
     docs = make(spark, [(1, "mail a.b@c.org and card 4111111111111111"), (2, "x 4111111111111111 y"), (None, "4111111111111111"), (2, "x 4111111111111111 y"), (3, "none"), (4, "w " * 100_000 + "4111111111111111")])
     rows = pseudonyms.pseudonymise_documents(docs).collect()
