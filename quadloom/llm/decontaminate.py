@@ -6,7 +6,7 @@ between windows becomes Hamming distance between copies. Tables of sampled steps
 Hamming distance. What a table retrieves is verified by exact edit distance between the item and the
 document.
 
-Windows are as long as the items are, by powers of two. All windows of an item are in the tables, and
+Windows are as long as the items are, by powers of two up to MOST_WINDOW. All windows of an item are in the tables, and
 of a document those at multiples of half the window, so each copy of an item holds windows that begin at the
 same word as one of the item's.
 """
@@ -33,6 +33,8 @@ WALKS = 2
 #: Tables for each walk, and the steps that each samples.
 TABLES = 8
 SAMPLED = 4
+#: Longest window. A long item holds many aligned windows of this length, each with few edits.
+MOST_WINDOW = 16
 #: Bytes of benchmark text for which tables go to the workers at once; more take several passes.
 PASS_BYTES = 8 << 20
 _SLOTS = 22  # log2 of the bits that are asked before a table is
@@ -91,7 +93,7 @@ def _indexes(items: list[np.ndarray]) -> list[_Index]:
     by: dict[int, list[int]] = {}
     for i, h in enumerate(items):
         if len(h) >= LEAST_WORDS:
-            by.setdefault(window_for(len(h)), []).append(i)
+            by.setdefault(min(window_for(len(h)), MOST_WINDOW), []).append(i)
     out = []
     for window, members in sorted(by.items()):
         steps = max(SAMPLED, int(1.6 * window))

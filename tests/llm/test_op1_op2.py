@@ -104,6 +104,25 @@ def test_contamination_with_edits(spark):
     assert kept == {d for d, _ in docs + clean} - {d for d, _ in got} and {d for d, _ in clean} <= kept
 
 
+@pytest.mark.parametrize("share", [0.15, 0.2])
+@pytest.mark.parametrize("length", [48, 96, 192, 400])
+def test_candidates_with_many_edits(share, length):
+    """Long items are found as surely as short ones, up to the edits that the operator promises."""
+    rng = random.Random(length)
+    items = [prose(20_000 + length + i, length) for i in range(40)]
+    docs = []
+    for i, t in enumerate(items):
+        w = t.split()
+        for _ in range(int(share * len(w))):
+            at, how = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + 1] = [["new"], [], [w[at], "more"]][how]
+        docs.append(" ".join([prose(30_000 + i, rng.randint(0, 200)), *w, prose(40_000 + i, 100)]))
+    hashes = decontaminate._words_of(items)
+    made = textkit.Words(textkit.text(pa.array(docs)))
+    found = decontaminate._verify(made, hashes, decontaminate._candidates(made, decontaminate._indexes(hashes)))
+    assert sum(d == i for d, i, _, _ in found) >= 0.9 * len(items)
+
+
 def test_edit_distance():
     def plain(a, b):
         row = [0] * (len(b) + 1)
