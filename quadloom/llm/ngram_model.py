@@ -26,8 +26,8 @@ from quadloom.llm import textkit
 from quadloom.llm.common import filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
 
 ORDERS = 3
-#: N-grams of two and more words that occur less often are left out of the model and scored by backing off.
-LEAST_COUNT = 2
+#: All n-grams are in the model, also those that occur once.
+LEAST_COUNT = 1
 BITS_AN_ENTRY = 12
 PROBES = 6
 #: A filter of more bytes is not broadcast but read part by part.
@@ -176,8 +176,6 @@ def _builder(to: str):
                 lists[n] = lists[ORDERS + n] = []
                 if n == 0:
                     words, distinct = int(counts.sum()), len(keys)
-                else:
-                    keys, counts = keys[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
                 kept.append((keys, counts))
         part = build_part(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept]))
         fs, folder = filesystem(to)

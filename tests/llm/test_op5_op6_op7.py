@@ -199,6 +199,13 @@ def test_scores_against_exact_counts(spark, sf, monkeypatch, broadcast):
     assert near >= 0.98 * len(rows)  # false positives of the filter may move a few
 
 
+def test_an_ngram_that_occurs_once_is_in_the_model(spark):
+    docs = make(spark, [(1, "one two three four"), (2, "five six seven"), (3, "one two")])
+    model = ngram_model.build_model(docs)
+    seen, unseen = (ngram_model.score(make(spark, [(1, t)]), model).first()["log_probability"] for t in ("two three four", "two four three"))
+    assert seen > unseen + 1
+
+
 def test_filter_never_forgets_and_seldom_invents():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 48, 20_000).astype(np.uint64))
