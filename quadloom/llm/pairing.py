@@ -30,6 +30,8 @@ def packed(columns: list[np.ndarray]) -> list[bytes]:
 
 def by_shard(shard: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
     """Rows of the columns grouped by shard, each group as bytes."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     kinds, first = np.unique(shard[order], return_index=True)
     for s, rows in zip(kinds, np.split(order, first[1:]), strict=True):

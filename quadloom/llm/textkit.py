@@ -37,7 +37,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n or more of each."""
     global _pow, _inv
     if len(_pow) < n:
         size = max(n, 2 * len(_pow), SLICE_BYTES * 5 // 4)
@@ -102,7 +103,7 @@ class Words:
         self.first = np.searchsorted(starts, off)
         self.hash = None
         if hashed:
-            up, down = _powers(len(raw) + 1)
+            up, down = powers(len(raw) + 1)
             total = np.zeros(len(raw) + 1, U64)
             np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
             self.hash = mix((total[ends] - total[starts]) * down[starts])
