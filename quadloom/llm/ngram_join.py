@@ -1,15 +1,19 @@
-"""Operator 3: all pairs of documents whose sets of word n-grams have a Jaccard similarity of T or more.
-
-Jaccard distance is a metric. Where sets lie close together, pivots make Voronoi regions: a set is at home
-at its nearest pivot, if that is within RADIUS, and is replicated to every other region that its
-partners may be at home in, which the triangle inequality bounds by a window of distances. Each region is
-joined exactly, and divided again by pivots of its own while that saves comparisons. Distances to
-pivots are exact: they come from an inverted index of the pivots' n-grams.
-
-What is at home nowhere has no pivot near. Those sets form the last level, in which each set is the pivot of
-a region of radius 0, so that its partners are what lies within 1 - T. An inverted index over prefixes finds
-these, for two such sets have at least PREFIX_MATCHES n-grams of their prefixes in common when n-grams are put in one
-order, the rare ones first. Every pair is verified on the whole sets.
+"""Operator 3: documents whose sets of word n-grams have a Jaccard similarity of T or more, joined exactly.
+
+Jaccard distance is a metric, which the join uses at three levels:
+
+* Pivots. Sets that share a sketch with a set of lesser key, its pivot, and are within RADIUS of it are at home in the pivot's
+  region, the nearest pivot counting; every other set is the pivot of a region of its own, of radius 0. As
+  RADIUS is half of the greatest distance of similar sets, all sets of a region are similar to each other by the
+  triangle inequality: a region is never joined with itself, however many sets it has.
+* Windows. Sets of two regions can be similar only if their pivots are no farther apart than 1 - T and both radii. Which
+  pivots are is found by an inverted index over prefixes: two sets of similarity s have at least prefix_matches() n-grams of
+  their prefixes for s in common when n-grams are put in one order, the rare ones first. Only pivots are in that
+  index, each with the prefixes that its radius asks for, so a set that many near copies have stands there once.
+  Where both regions have several sets, each set of one goes to the other if its distance to the pivot there allows it.
+* Regions. For a set that visits a region, the distances to the pivot settle most pairs: they are similar if the two
+  distances add up to 1 - T at most, and aren't if they differ by more. The rest is joined on whole sets, in cells of CELL
+  home sets and CELL visitors at most, which pivots of their own divide again and again while that saves comparisons.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +36,14 @@ from quadloom.llm.pairing import _bits, _read_filter, by_shard, key_filter
 
 WORDS = 2
 T = 0.6
-#: Home radius of a region.
-RADIUS = 0.3
-#: So many sets with an equal sketch make their first one a pivot.
-DENSE = 16
+THETA = 1 - T
+#: Home radius of a region. Sets within it of one pivot are similar to each other if it is at most THETA / 2.
+RADIUS = THETA / 2
 SKETCHES = 3
-#: Pivot sets that go to the workers at once, in bytes; more take several passes.
-PASS_BYTES = 24 << 20
+#: Similarity of pivots that the index finds: of two regions of radius 0, of one and one that has a radius, of two that have.
+LEVELS = (T, T - RADIUS, T - 2 * RADIUS)
+#: Home sets, and visitors, of a region that are compared in one task at most.
+CELL = 1000
 #: So many n-grams of their prefixes have two similar sets in common, and a share of the smaller set's size if that is more.
 PREFIX_MATCHES = 4
 PREFIX_SHARE = 1 / 16
@@ -97,7 +103,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[some] = textkit.mix(two[0] ^ (two[1] << np.uint64(1)), 40 + i)
                 sketches.append(out.view(np.int64))
             arrays = [pa.array(key), batch.column(0)[a:b], pa.array(size.astype(np.int32)), *map(pa.array, sketches)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_SUMMARY).filter(pa.array(size > 0))
+            yield pa.RecordBatch.from_arrays(arrays, schema=_SUMMARY)
 
 
 # --- how many documents have an n-gram: only the frequent ones are kept -------------------------------
@@ -146,7 +152,7 @@ def _count(shards: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int64()))])
     shard, keys, counts = None, [], []
     for batch in batches:
         for row in batch.to_pylist():
@@ -162,81 +168,57 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     total = np.add.reduceat(c, edge)
     many = total >= FREQUENT
-    yield pa.RecordBatch.from_pydict({"shard": [shard], "keys": [k[edge][many].tobytes()], "counts": [total[many].astype("<u4").tobytes()]}, schema)
+    # how many there are of FREQUENT or more documents, of twice as many, and so on
+    sizes = [int((total >= FREQUENT << i).sum()) for i in range(28)]
+    yield pa.RecordBatch.from_pydict({"shard": [shard], "keys": [k[edge][many].tobytes()], "counts": [total[many].astype("<u4").tobytes()], "sizes": [sizes]}, schema)
 
 
-def _frequent_list(docs: DataFrame, shards: int) -> str:
-    """Writes the frequent n-grams, sorted, with their number of documents; returns the file."""
-    spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(lean(_count(shards)), "shard int, once binary, more binary, count binary")
-    rows = materialise(counted.repartitionById(shards, F.col("shard")).mapInArrow(lean(_frequent), "shard int, keys binary, counts binary"), "frequent")
-    # a task joins the shards in order, so nothing of this passes through the driver
-    to = posixpath.join(shared_dir(spark, "frequent-list"), "list")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+def _list_writer(to: str, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys.append((np.uint64(row["shard"]) << np.uint64(32)) | np.frombuffer(row["keys"], "<u4").astype(np.uint64))
-                counts.append(np.frombuffer(row["counts"], "<u4"))
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        c = np.concatenate(counts) if counts else np.zeros(0, np.uint32)
-        least = FREQUENT
-        while 12 * len(k) > FREQUENT_BYTES:
-            least *= 2
-            k, c = k[c >= least], c[c >= least]
-        order = np.argsort(k)
-        fs, path = filesystem(to)
-        fs.create_dir(posixpath.dirname(path), recursive=True)
-        tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
-        with fs.open_output_stream(tmp) as out:
-            out.write(np.array([len(k)], "<u8").tobytes() + k[order].tobytes() + c[order].astype("<u4").tobytes())
-        publish(fs, tmp, path)
-        yield pa.RecordBatch.from_pydict({"n": [len(k)]})
-
-    rows.coalesce(1).mapInArrow(lean(join), "n long").collect()
-    return to
-
-
-@functools.lru_cache(1)
-def _read_frequent(name: str) -> tuple[np.ndarray, np.ndarray]:
-    fs, path = filesystem(name)
-    with fs.open_input_file(path) as f:
-        data = f.read()
-    n = int(np.frombuffer(data, "<u8", 1)[0])
-    return np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n)
-
+                k, c = np.frombuffer(row["keys"], "<u4"), np.frombuffer(row["counts"], "<u4")
+                k, c = k[c >= least], c[c >= least]
+                if len(k):
+                    fs, folder = filesystem(to)
+                    fs.create_dir(folder, recursive=True)
+                    final = posixpath.join(folder, f"{row['shard']:08d}.list")
+                    tmp = f"{final}.{TaskContext.get().taskAttemptId()}.tmp"
+                    with fs.open_output_stream(tmp) as out:
+                        out.write(np.array([row["shard"], len(k)], "<u8").tobytes() + k.tobytes() + c.tobytes())
+                    publish(fs, tmp, final)
+        yield from ()
 
-# --- Voronoi regions of pivots ------------------------------------------------------------------------
+    return run
 
 
-def _pick(keys: frozenset):
-    wanted = np.array(sorted(keys), np.int64)
+def _frequent_list(texts: DataFrame, shards: int) -> str:
+    """Writes the frequent n-grams, sorted, with their number of documents, a file for each shard; returns the folder."""
+    spark = texts.sparkSession
+    counted = texts.select("text").mapInArrow(lean(_count(shards)), "shard int, once binary, more binary, count binary")
+    rows = materialise(counted.repartitionById(shards, F.col("shard")).mapInArrow(lean(_frequent), "shard int, keys binary, counts binary, sizes array<long>"), "frequent")
+    sizes = rows.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col")).collect()
+    least = min((FREQUENT << r[0] for r in sizes if 12 * r[1] <= FREQUENT_BYTES), default=FREQUENT)
+    to = shared_dir(spark, "frequent-list")
+    rows.select("shard", "keys", "counts").mapInArrow(lean(_list_writer(to, least)), "n long").collect()
+    return to
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("fps", pa.binary())])
-        for batch in batches:
-            for _, _, fp, doc, key, size in _sets(batch.column(0)):
-                begin = np.cumsum(size) - size
-                at = np.flatnonzero(np.isin(key, wanted))
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in at]}, schema)
 
-    return run
+@functools.lru_cache(1)
+def _read_frequent(name: str) -> tuple[np.ndarray, np.ndarray]:
+    fs, folder = filesystem(name)
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for info in sorted(fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)), key=lambda x: x.path):
+        if info.path.endswith(".list"):
+            with fs.open_input_file(info.path) as f:
+                data = f.read()
+            shard, n = np.frombuffer(data, "<u8", 2).tolist()
+            keys.append((np.uint64(shard) << np.uint64(32)) | np.frombuffer(data, "<u4", n, 16).astype(np.uint64))
+            counts.append(np.frombuffer(data, "<u4", n, 16 + 4 * n))
+    return np.concatenate(keys), np.concatenate(counts)
 
 
-def _distances(fp: np.ndarray, doc: np.ndarray, size: np.ndarray, index: tuple, pivot_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, pivot, distance) wherever they share an n-gram."""
-    grams, begin, owner = index
-    at = np.searchsorted(grams, fp)
-    at[at == len(grams)] = 0
-    hit = np.flatnonzero(grams[at] == fp)
-    at = at[hit]
-    n = begin[at + 1] - begin[at]
-    who = owner[textkit.ragged(begin[at], n)]
-    pair, common = np.unique(np.repeat(doc[hit], n) * len(pivot_size) + who, return_counts=True)
-    d, p = pair // len(pivot_size), pair % len(pivot_size)
-    return d, p, 1 - common / (size[d] + pivot_size[p] - common)
+# --- joining a region's sets with those that visit it ----------------------------------------------------
 
 
 def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,49 +229,6 @@ def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return grams, np.append(begin, len(flat)), owner[order]
 
 
-class _Diagram:
-    """The pivots of one pass: which set is at home where, and which regions it is replicated to."""
-
-    def __init__(self, pivots: list[tuple[int, bytes]]) -> None:
-        self.names = np.array([k for k, _ in pivots], np.int64)
-        sets = [_unpacked(s) for _, s in pivots]
-        self.sizes = np.array([len(s) for s in sets])
-        self.index = _inverted(sets)
-
-    def place(self, fp: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, pivot, at home) for each region that a document goes to."""
-        d, p, far = _distances(fp, doc, size, self.index, self.sizes)
-        near = np.full(len(size), np.inf)
-        np.minimum.at(near, d, far)
-        # ties go to the pivot of the least key: pivots are in that order
-        best = np.full(len(size), len(self.names))
-        at_best = far <= near[d] + _EPS
-        np.minimum.at(best, d[at_best], p[at_best])
-        home = (p == best[d]) & (near[d] <= RADIUS + _EPS)
-        # partners at home in p's region lie within RADIUS of p, and nearer to p than to any other pivot
-        theta = 1 - T
-        window = (far <= RADIUS + theta + _EPS) & (far <= near[d] + 2 * theta + _EPS)
-        keep = np.flatnonzero(home | window)
-        return d[keep], p[keep], home[keep]
-
-
-_CELL = pa.schema([("pivot", pa.int64()), ("key", pa.int64()), ("home", pa.bool_()), ("fps", pa.binary())])
-
-
-def _regions(pivots: list[tuple[int, bytes]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        diagram = _Diagram(pivots)
-        for batch in batches:
-            for _, _, fp, doc, key, size in _sets(batch.column(0)):
-                d, p, home = diagram.place(fp, doc, size)
-                begin = np.cumsum(size) - size
-                for s in range(0, len(d), 2000):
-                    k = slice(s, s + 2000)
-                    yield pa.RecordBatch.from_pydict({"pivot": diagram.names[p[k]], "key": key[d[k]], "home": home[k], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in d[k]]}, _CELL)
-
-    return run
-
-
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Numbers of common elements of all sets `left` with all sets `right`."""
     grams, begin, owner = _inverted([sets[i] for i in right])
@@ -307,119 +246,191 @@ def _similar(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
     return c / (size[left][:, None] + size[right][None, :] - c)
 
 
-def join_region(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray) -> list[tuple[int, int, float]]:
-    """Pairs (i, j, similarity) of T or more between sets at home and all sets of a region, each pair once."""
+def join_region(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (home, guest) of similarity T or more, by number of the set, each pair once."""
     size = np.array([len(s) for s in sets])
-    out: list[tuple[int, int, float]] = []
+    out: list[tuple[int, int]] = []
     todo = [(home, guest)]
-    theta = 1 - T
     while todo:
         home, guest = todo.pop()
-        if not len(home):
+        if not len(home) or not len(guest):
             continue
-        everyone = np.concatenate([home, guest])
         if len(home) > _LEAF:
             pivots = home[:: max(1, len(home) // 8)][:8]
-            far = 1 - _similar(sets, size, everyone, pivots)
-            near, own = far.min(1), far.argmin(1)
-            at_home = np.arange(len(everyone)) < len(home)
+            far_home, far_guest = (1 - _similar(sets, size, x, pivots) for x in (home, guest))
+            own, near = far_home.argmin(1), far_home.min(1)
             parts, cost = [], 0
             for k in range(len(pivots)):
-                inside = at_home & (own == k)
-                radius = near[inside].max(initial=0)
-                beside = ~inside & (far[:, k] <= radius + theta + _EPS) & (far[:, k] <= near + 2 * theta + _EPS)
-                # a pair of two homes is found in the region of the one with the lower pivot only
-                beside &= ~(at_home & (own < k))
-                parts.append((everyone[inside], everyone[beside]))
-                cost += int(inside.sum()) * int(inside.sum() + beside.sum())
-            if cost < 0.7 * len(home) * len(everyone):
+                inside = own == k
+                beside = far_guest[:, k] <= near[inside].max(initial=0) + THETA + _EPS
+                parts.append((home[inside], guest[beside]))
+                cost += int(inside.sum()) * int(beside.sum())
+            if cost < 0.7 * len(home) * len(guest):
                 todo += parts
                 continue
         for s in range(0, len(home), 256):
             rows = home[s : s + 256]
-            alike = _similar(sets, size, rows, everyone)
-            x, y = np.nonzero(alike >= T - _EPS)
-            ok = y > x + s  # homes come first, so this counts a pair of homes once and leaves guests in
-            out += [(int(rows[i]), int(everyone[j]), float(alike[i, j])) for i, j in zip(x[ok], y[ok], strict=True)]
+            x, y = np.nonzero(_similar(sets, size, rows, guest) >= T - _EPS)
+            out += zip(rows[x].tolist(), guest[y].tolist(), strict=True)
     return out
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 _PAIR_SQL = "a long, b long, similarity double"
+_MET = pa.schema([("home", pa.int64()), ("guest", pa.int64()), ("region", pa.int64())])
 
 
 def _join_cell(cell: pa.Table) -> pa.Table:
-    cell = cell.select(["key", "home", "fps"])
-    key = cell["key"].to_numpy()
-    key, first = np.unique(key, return_index=True)  # equal sets count once
-    home = cell["home"].to_numpy()[first]
+    """Similar pairs of a cell: rows are pivot, part, other part, key, far, at_home and the set."""
+    key, far, at_home = (cell[c].to_numpy() for c in ("key", "far", "at_home"))
     fps = cell["fps"].combine_chunks() if cell.num_rows else cell["fps"]
-    sets = [_unpacked(fps[int(i)].as_buffer()) for i in first]
-    rows = join_region(sets, np.flatnonzero(home), np.flatnonzero(~home))
-    a, b, s = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, int),) * 3
-    x, y = key[a], key[b]
-    return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s.astype(float))], schema=_PAIR)
+    sets = [_unpacked(fps[i].as_buffer()) for i in range(len(key))]
+    home, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+    far_home, far_guest = far[home], far[guest]
+    pairs = []
+    # what distances to the pivot settle isn't compared
+    low, high = far_home.min(initial=1), far_home.max(initial=0)
+    sure = guest[far_guest + high <= THETA + _EPS]
+    pairs += [(h, g) for g in sure.tolist() for h in home.tolist()]
+    open_ = guest[(far_guest + high > THETA + _EPS) & (far_guest - high <= THETA + _EPS) & (low - far_guest <= THETA + _EPS)]
+    pairs += join_region(sets, home, open_)
+    h, g = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    return pa.table([pa.array(key[h]), pa.array(key[g]), pa.array(np.full(len(h), cell["pivot"][0].as_py() if cell.num_rows else 0, np.int64))], schema=_MET)
 
 
-# --- sets with no pivot near: regions of radius 0 -----------------------------------------------------
+# --- which pivots are near each other -------------------------------------------------------------------
 
 
-def prefix_matches(size: np.ndarray) -> np.ndarray:
-    """How many n-grams beyond the shortest prefix a set of this size adds; two similar sets share the lesser of theirs.
+def prefix_matches(size: np.ndarray, least: float | np.ndarray = T) -> np.ndarray:
+    """How many n-grams beyond the shortest prefix a set of this size adds; two sets of similarity `least` share the lesser of theirs.
 
-    Sets of `size` that are similar have at least T * size in common; smaller ones can't share more than that.
+    Sets of `size` that are so similar have at least least * size in common; smaller ones can't share more than that.
     """
-    return np.minimum(np.maximum(PREFIX_MATCHES, size * PREFIX_SHARE), np.ceil(T * size - _EPS)).astype(np.int64)
+    return np.minimum(np.maximum(PREFIX_MATCHES, size * PREFIX_SHARE), np.ceil(least * size - _EPS)).astype(np.int64)
+
+
+def _prefix(size: np.ndarray, least: float) -> np.ndarray:
+    return size - np.ceil(least * size - _EPS).astype(np.int64) + prefix_matches(size, least)
+
 
+def _in_order(fp: np.ndarray, doc: np.ndarray, size: np.ndarray, shards: int, frequent: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of each set, the rare first, then by fingerprint: gram, document, its place and the first level whose prefix has it."""
+    often, number = _read_frequent(frequent)
+    gram = _order_key(fp, shards)
+    rank = np.zeros(len(gram), np.uint64)
+    if len(often):
+        at = np.searchsorted(often, gram)
+        at[at == len(often)] = 0
+        rank = np.where(often[at] == gram, number[at], 0).astype(np.uint64)
+    order = np.lexsort((fp, rank, doc))
+    place = np.arange(len(fp)) - np.repeat(np.cumsum(size) - size, size)
+    level = sum((place >= _prefix(size, s)[doc]).astype(np.int8) for s in LEVELS)
+    return gram[order], doc, level
 
-_POSTING = pa.schema([("shard", pa.int32()), ("gram", pa.binary()), ("key", pa.binary()), ("size", pa.binary())])
+
+_POSTING = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("gram", "key", "size", "kind")]])
+_POSTING_SQL = "shard int, gram binary, key binary, size binary, kind binary"
 _BIG = 65_535
 #: Pairs that are looked at in one step, and that wait to be added up.
 _PAIRS_STEP = 1_000_000
 _PAIRS_HELD = 3_000_000
 
 
-def _postings(shards: int, frequent: str, pivots: list[tuple[int, bytes]]):
+def _among(field: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(key), bool)
+    for p in _bits(key, n):
+        keep &= ((field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return keep
+
+
+class _Poster:
+    """Makes the index's entries: n-gram, set, its size, and whether it has a radius (bit 2) beside the level."""
+
+    def __init__(self, shards: int, frequent: str, grams: tuple[list[str], int]) -> None:
+        self.shards, self.frequent, self.grams = shards, frequent, grams
+        self.held, self.total, self.seen = [], 0, set()
+
+    def add(self, fp: np.ndarray, doc: np.ndarray, size: np.ndarray, key: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, doc, level = _in_order(fp, doc, size, self.shards, self.frequent)
+        # beyond the first level, a set of no radius meets only n-grams of those that have one
+        take = np.flatnonzero((level == 0) | (wide[doc] & (level < 3)))
+        more = np.flatnonzero((level == 1) & ~wide[doc])
+        more = more[_among(_read_filter(tuple(self.grams[0]), self.grams[1]), self.grams[1], gram[more].view(np.int64))]
+        take = np.concatenate([take, more])
+        self.held.append([gram[take], key[doc[take]], np.minimum(size[doc[take]], _BIG).astype(np.uint16), (wide[doc[take]] * 4 + level[take]).astype(np.uint8)])
+        self.total += len(take)
+        if self.total > 3_000_000:
+            yield self.send()
+
+    def send(self) -> pa.RecordBatch:
+        gram, key, size, kind = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.total = [], 0
+        rows = list(by_shard((gram >> np.uint64(32)).astype(np.int64), [gram.astype(np.uint32), key, size, kind]))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[i] for _, r in rows], pa.binary()) for i in range(4)]], schema=_POSTING)
+
+
+def _fresh(key: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
+    """Numbers of the rows that are ok, each key once in a task."""
+    at = np.flatnonzero(ok)
+    _, first = np.unique(key[at], return_index=True)
+    at = at[np.sort(first)]
+    new = [i for i, k in zip(at.tolist(), key[at].tolist(), strict=True) if k not in seen]
+    seen.update(key[new].tolist())
+    return np.array(new, np.int64)
+
+
+def _subset(fp: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    begin = np.cumsum(size) - size
+    return fp[textkit.ragged(begin[at], size[at])], np.repeat(np.arange(len(at)), size[at]), size[at]
+
+
+def _post_texts(poster: tuple, files: list[str], n: int):
+    """Entries of the sets of texts, but for those whose keys are in the filter."""
+    names = tuple(files)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        diagram = _Diagram(pivots) if pivots else None
-        often, number = _read_frequent(frequent)
-        held, total = [], 0
+        post, field = _Poster(*poster), _read_filter.__wrapped__(names, n)
         for batch in batches:
-            for _, _, fp, doc, key, size in _sets(batch.column(0)):
-                if not len(fp):
-                    continue
-                if diagram is not None:
-                    d, _, home = diagram.place(fp, doc, size)
-                    away = np.ones(len(size), bool)
-                    away[d[home]] = False
-                    fp, doc = fp[away[doc]], doc[away[doc]]
-                    size = np.where(away, size, 0)
-                gram = _order_key(fp, shards)
-                rank = np.zeros(len(gram), np.uint64)
-                if len(often):
-                    at = np.searchsorted(often, gram)
-                    at[at == len(often)] = 0
-                    rank = np.where(often[at] == gram, number[at], 0).astype(np.uint64)
-                # rare first, then by fingerprint, within each document
-                order = np.lexsort((fp, rank, doc))
-                place = np.arange(len(fp)) - np.repeat(np.cumsum(size) - size, size)
-                prefix = size - np.ceil(T * size - _EPS).astype(np.int64) + prefix_matches(size)
-                take = order[place < prefix[doc]]
-                held.append([gram[take], key[doc[take]], np.minimum(size[doc[take]], _BIG).astype(np.uint16)])
-                total += len(take)
-            if total > 3_000_000:
-                yield _send(held, shards)
-                held, total = [], 0
-        if held:
-            yield _send(held, shards)
+            for _, _, fp, _, key, size in _sets(batch.column(0)):
+                at = _fresh(key, (size > 0) & ~_among(field, n, key), post.seen)
+                yield from post.add(*_subset(fp, size, at), key[at], np.zeros(len(at), bool))
+        if post.held:
+            yield post.send()
 
     return run
 
 
-def _send(held: list, shards: int) -> pa.RecordBatch:
-    gram, key, size = (np.concatenate(x) for x in zip(*held, strict=True))
-    rows = list(by_shard((gram >> np.uint64(32)).astype(np.int64), [gram.astype(np.uint32), key, size]))
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[i] for _, r in rows], pa.binary()) for i in range(3)]], schema=_POSTING)
+def _post_sets(poster: tuple):
+    """Entries of stored sets: key, whether it has a radius, the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post = _Poster(*poster)
+        for fp, doc, size, key, wide in _stored_sets(batches):
+            yield from post.add(fp, doc, size, key, wide)
+        if post.held:
+            yield post.send()
+
+    return run
+
+
+def _stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, 2000):
+            part = batch.slice(s, 2000)
+            sets = [_unpacked(x.as_buffer()) for x in part.column(2)]
+            size = np.array([len(x) for x in sets], np.int64)
+            yield np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size, part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _wide_grams(shards: int, frequent: str):
+    """N-grams of the first two levels of stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, doc, size, _, _ in _stored_sets(batches):
+            gram, _, level = _in_order(fp, doc, size, shards, frequent)
+            yield pa.RecordBatch.from_pydict({"gram": np.unique(gram[level < 2]).view(np.int64)})
+
+    return run
 
 
 _COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "n", "need")]])
@@ -427,30 +438,25 @@ _COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("a", "
 
 def _pair_up(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[], [], []]
+        held: list[list[bytes]] = [[] for _ in range(4)]
         for batch in batches:
-            for i in range(3):
+            for i in range(4):
                 held[i] += batch.column(i + 1).to_pylist()
-        gram, key, size = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8", "<u2"), strict=True))
+        gram, key, size, kind = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8", "<u2", "u1"), strict=True))
         held.clear()
         if not len(gram):
             return
         order = np.argsort(gram, kind="stable")
         same = gram[order][1:] == gram[order][:-1]
         order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        gram, key, size = gram[order], key[order], size[order]
-        order = np.lexsort((key, gram))
-        gram, key, size = gram[order], key[order], size[order]
+        gram, key = gram[order], key[order]
+        again = np.lexsort((key, gram))
+        gram, key, order = gram[again], key[again], order[again]
         if len(gram):
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])  # equal sets count once
-            gram, key, size = gram[new], key[new], size[new]
-        n = len(gram)
-        if n < 2:
-            return
-        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        stop = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
-        after = stop - np.arange(n) - 1  # partners that follow in the same group
-        ends = np.cumsum(after)
+            gram, key, order = gram[new], key[new], order[new]
+        size, kind = size[order], kind[order]
+        wide, level = kind >> 2, kind & 3
         sums: list[tuple[np.ndarray, ...]] = []
         waiting, least = 0, _PAIRS_HELD
 
@@ -461,23 +467,45 @@ def _pair_up(shards: int):
             edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             return a[edge], b[edge], np.minimum(np.add.reduceat(c.astype(np.int64), edge), 65_535).astype(np.uint16), need[edge]
 
-        i = 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS_STEP, "right")))
-            x = np.repeat(np.arange(i, j), after[i:j])
-            y = textkit.ragged(np.arange(i, j) + 1, after[i:j])
+        def count(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal waiting, least
             lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            ok = (lo >= T * hi - _EPS) | (hi == _BIG)
-            x, y, lo = x[ok], y[ok], lo[ok]
+            alike = np.array(LEVELS)[wide[x] + wide[y]]
+            ok = (lo >= alike * hi - _EPS) | (hi == _BIG)
+            x, y, lo, alike = x[ok], y[ok], lo[ok], alike[ok]
             if len(x):
-                sums.append((key[x], key[y], np.ones(len(x), np.uint16), prefix_matches(lo).astype(np.uint16)))
+                a, b = key[x], key[y]
+                sums.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(x), np.uint16), prefix_matches(lo, alike).astype(np.uint16)))
                 waiting += len(x)
                 if waiting > least:
                     sums[:] = [merged()]
                     # what is merged is as large again before it is merged once more
                     waiting = 0
                     least = max(_PAIRS_HELD, len(sums[0][0]))
-            i = j
+
+        def each(lead: np.ndarray, start: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """lead[i] with start[i], start[i] + 1 ... (number[i] of them), in steps."""
+            ends, i = np.cumsum(number), 0
+            while i < len(lead):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS_STEP, "right")))
+                yield np.repeat(lead[i:j], number[i:j]), textkit.ragged(start[i:j], number[i:j])
+                i = j
+
+        # within the first level all meet
+        low = np.flatnonzero(level == 0)
+        if len(low):
+            begin = np.flatnonzero(np.concatenate([[True], gram[low][1:] != gram[low][:-1]]))
+            stop = np.repeat(np.append(begin[1:], len(low)), np.diff(np.append(begin, len(low))))
+            at = np.arange(len(low))
+            for x, y in each(at, at + 1, stop - at - 1):
+                count(low[x], low[y])
+        # beyond it only those with a radius meet others
+        lead = np.flatnonzero(wide)
+        if len(lead):
+            begin, stop = np.searchsorted(gram, gram[lead], "left"), np.searchsorted(gram, gram[lead], "right")
+            for x, y in each(lead, begin, stop - begin):
+                ok = ((level[x] > 0) | (level[y] > 0)) & (wide[y] & (x < y) | (wide[y] == 0) & (level[x] < 2) & (level[y] < 2)).astype(bool)
+                count(x[ok], y[ok])
         if not sums:
             return
         a, b, c, need = merged()
@@ -505,102 +533,191 @@ def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": a[s : s + 100_000], "b": b[s : s + 100_000]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _some_sets(files: list[str], n: int):
+def _some_sets(files: list[str], n: int, less: tuple[list[str], int] | None):
+    """Sets whose keys are in the filter but not in the filter `less`, each once in a task."""
     names = tuple(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = _read_filter(names, n)
+        field, seen = _read_filter(names, n), set()
+        without = _read_filter.__wrapped__(tuple(less[0]), less[1]) if less else None
         for batch in batches:
-            for _, _, fp, doc, key, size in _sets(batch.column(0)):
-                keep = size > 0
-                for p in _bits(key, n):
-                    keep &= ((field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                begin = np.cumsum(size) - size
-                at = np.flatnonzero(keep)
+            for _, _, fp, _, key, size in _sets(batch.column(0)):
+                keep = (size > 0) & _among(field, n, key)
+                if less:
+                    keep &= ~_among(without, less[1], key)
+                at, begin = _fresh(key, keep, seen), np.cumsum(size) - size
                 yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in at]}, pa.schema([("key", pa.int64()), ("fps", pa.binary())]))
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in (0, 1))
-        x, y = batch.column(2), batch.column(3)
-        alike = np.zeros(len(a))
-        for i in range(len(a)):
-            p, q = _unpacked(x[i].as_buffer()), _unpacked(y[i].as_buffer())
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            c = int((q[at] == p).sum())
-            alike[i] = c / (len(p) + len(q) - c)
-        ok = alike >= T - _EPS
-        yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok], "similarity": alike[ok]}, _PAIR)
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            x, y = batch.column(2), batch.column(3)
+            alike = np.zeros(len(a))
+            for i in range(len(a)):
+                p, q = _unpacked(x[i].as_buffer()), _unpacked(y[i].as_buffer())
+                if len(p) > len(q):
+                    p, q = q, p
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = 0
+                c = int((q[at] == p).sum())
+                alike[i] = c / (len(p) + len(q) - c)
+            ok = alike >= least - _EPS
+            yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok], "similarity": alike[ok]}, _PAIR)
+
+    return run
 
 
 # --- the join -----------------------------------------------------------------------------------------
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """key, doc_id, size and sketches of each document with words; written to the shared folder."""
-    prepare(docs.sparkSession)
-    return materialise(_texts(docs).mapInArrow(lean(_summary), _SUMMARY_SQL), "sets")
+def _compared(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs of keys (a, b) that reach `least`, from stored sets."""
+    left, right = (sets.select(F.col("key").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "fps_a", "fps_b").mapInArrow(lean(_verify(least)), _PAIR_SQL)
 
 
-def similar_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity): all pairs a < b of different set keys with a similarity of T or more."""
-    spark = docs.sparkSession
-    shards = shuffle_width(spark)
-    texts = _texts(docs).select("text")
-    distinct = sets.dropDuplicates(["key"])
-    sketches = distinct.select("key", "size", F.explode(F.array(*[F.col(f"s{i}") for i in range(SKETCHES)])).alias("sketch"))
-    dense = sketches.groupBy("sketch").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("first")).where(F.col("n") >= DENSE)
-    pivots = materialise(dense.select("first.key", "first.size").distinct(), "pivots")
-    total = pivots.agg(F.sum(F.col("size") * 8)).first()[0] or 0
-    passes, found, last_pivots = -(-total // PASS_BYTES), None, []
-    for i in range(passes):
-        names = frozenset(r["key"] for r in pivots.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i).select("key").collect())
-        rows = texts.mapInArrow(lean(_pick(names)), "key long, fps binary").dropDuplicates(["key"]).orderBy("key").collect()
-        last_pivots = [(r["key"], bytes(r["fps"])) for r in rows]
-        cells = texts.mapInArrow(lean(_regions(last_pivots)), "pivot long, key long, home boolean, fps binary")
-        one = cells.groupBy("pivot").applyInArrow(_join_cell, _PAIR_SQL)
-        found = one if found is None else found.unionAll(one)
-    # sets at home in the last pass are left out here; those of other passes may be met twice
-    counted = texts.mapInArrow(lean(_postings(shards, _frequent_list(texts, shards), last_pivots)), "shard int, gram binary, key binary, size binary")
-    raw = counted.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), "shard int, a binary, b binary, n binary, need binary")
-    pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(lean(_enough), "a long, b long"), "set-pairs")
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    some = texts.mapInArrow(lean(_some_sets(*key_filter(keys))), "key long, fps binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    left, right = (some.select(F.col("key").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
-    last = pairs.join(right, "b").join(left, "a").select("a", "b", "fps_a", "fps_b").mapInArrow(lean(_verify), _PAIR_SQL)
-    return last if found is None else found.unionAll(last).dropDuplicates(["a", "b"])
+class Joined:
+    """The join of a table of documents: which sets are similar, told by regions and links between them.
+
+    sets: key and doc_id of each document, key 0 for those without words. classes: key, n documents, their least id.
+    homes: key, pivot and distance of sets that are not their own pivot. linked: pairs of keys (a, b), those of equal
+    regions left out. whole: (key, region) of sets that are similar to all sets at home in a region they aren't at home in
+    themselves. met: (home, guest, region), further pairs of a set at home in a region with one that isn't.
+    A pair of sets of different regions is in one of linked, whole and met, once.
+    """
+
+    def __init__(self, docs: DataFrame) -> None:
+        spark = docs.sparkSession
+        prepare(spark)
+        shards = shuffle_width(spark)
+        texts = _texts(docs)
+        self.sets = materialise(texts.mapInArrow(lean(_summary), _SUMMARY_SQL), "sets")
+        self.texts = texts = texts.select("text")
+        one = [F.first(c).alias(c) for c in ("size", *(f"s{i}" for i in range(SKETCHES)))]
+        self.classes = classes = materialise(self.sets.where("key != 0").dropDuplicates(["key", "doc_id"]).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *one), "classes")
+
+        # pivots and homes
+        sketches = classes.select("key", F.explode(F.array(*[F.col(f"s{i}") for i in range(SKETCHES)])).alias("sketch"))
+        leaders = sketches.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("many")).where("many > 1").select("sketch", "leader")
+        near = materialise(sketches.join(leaders, "sketch").where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "near")
+        keys = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
+        known = key_filter(keys)
+        stored = materialise(texts.mapInArrow(lean(_some_sets(*known, None)), "key long, fps binary").dropDuplicates(["key"]), "set-store")
+        close = materialise(_compared(stored, near, 1 - RADIUS), "close")
+        roots = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+        homes = roots.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("b")).alias("least"))).alias("best"))
+        self.homes = homes = materialise(homes.select(F.col("a").alias("key"), (-F.col("best.least")).alias("pivot"), (1 - F.col("best.similarity")).alias("far")), "homes")
+        self.regions = regions = materialise(homes.groupBy("pivot").agg(F.max("far").alias("radius"), F.count("*").alias("size")), "regions")
+
+        # which pivots are near each other
+        frequent = _frequent_list(texts, shards)
+        own = materialise(stored.join(homes.select("key"), "key", "left_anti").join(regions.select(F.col("pivot").alias("key"), F.lit(True).alias("w")), "key", "left").select("key", F.coalesce("w", F.lit(False)).alias("wide"), "fps"), "pivots")
+        grams = key_filter(own.where("wide").mapInArrow(lean(_wide_grams(shards, frequent)), "gram long"))
+        poster = (shards, frequent, grams)
+        entries = texts.mapInArrow(lean(_post_texts(poster, *known)), _POSTING_SQL).unionAll(own.mapInArrow(lean(_post_sets(poster)), _POSTING_SQL))
+        raw = entries.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), "shard int, a binary, b binary, n binary, need binary")
+        pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(lean(_enough), "a long, b long"), "pivot-pairs")
+        keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+        others = texts.mapInArrow(lean(_some_sets(*key_filter(keys), known)), "key long, fps binary").dropDuplicates(["key"])
+        stored = stored.unionAll(materialise(others, "set-store"))
+        wide = {k: regions.select(F.col("pivot").alias(k), F.col("radius").alias(f"radius_{k}")) for k in "ab"}
+        apart = _compared(stored, pairs, LEVELS[2]).join(wide["a"], "a", "left").join(wide["b"], "b", "left").select("a", "b", (1 - F.col("similarity")).alias("far"), *[F.coalesce(f"radius_{k}", F.lit(0.0)).alias(f"radius_{k}") for k in "ab"])
+        apart = materialise(apart.where(F.col("far") <= THETA + _EPS + F.col("radius_a") + F.col("radius_b")), "apart")
+
+        # sets that visit regions: of two regions with a radius, those of a visit b
+        few = apart.where("radius_a = 0 AND radius_b > 0").select(F.col("a").alias("key"), F.col("b").alias("pivot"), "far", F.col("radius_b").alias("radius"))
+        few = few.unionAll(apart.where("radius_a > 0 AND radius_b = 0").select("b", "a", "far", "radius_a"))
+        both = apart.where("radius_a > 0 AND radius_b > 0")
+        few = few.unionAll(both.select("a", "b", "far", "radius_b"))
+        going = both.join(homes.select(F.col("key").alias("x"), F.col("pivot").alias("a"), F.col("far").alias("out")), "a").where(F.col("far") - F.col("out") <= THETA + _EPS + F.col("radius_b"))
+        going = _compared(stored, going.select(F.col("x").alias("a"), "b"), 1 - THETA - RADIUS).join(wide["b"], "b").select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"), F.col("radius_b").alias("radius"))
+        visits = materialise(going.where(F.col("far") <= THETA + _EPS + F.col("radius")).withColumn("at_pivot", F.lit(False)).unionAll(few.where(F.col("far") <= THETA + _EPS + F.col("radius")).withColumn("at_pivot", F.lit(True))), "visits")
+        self.linked = apart.where(F.col("far") <= THETA + _EPS).select("a", "b").unionAll(visits.where(~F.col("at_pivot") & (F.col("far") <= THETA + _EPS)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        self.whole = visits.where(F.col("far") + F.col("radius") <= THETA + _EPS).select("key", F.col("pivot").alias("region"))
+
+        # what distances to pivots don't settle, in cells
+        unsettled = visits.where(F.col("far") + F.col("radius") > THETA + _EPS).select("key", "pivot", "far")
+        parts = lambda n: F.ceil(n / CELL).cast("int")
+        shape = unsettled.groupBy("pivot").agg(F.count("*").alias("guests")).join(regions, "pivot").select("pivot", parts(F.col("size")).alias("rows"), parts(F.col("guests")).alias("columns"))
+        spread = lambda own, other: (F.pmod(F.xxhash64("key"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        mine, every = spread("rows", "columns")
+        at_home = homes.join(shape, "pivot").select("pivot", mine.alias("row"), every.alias("column"), "key", "far", F.lit(True).alias("at_home"))
+        mine, every = spread("columns", "rows")
+        guests = unsettled.join(shape, "pivot").select("pivot", every.alias("row"), mine.alias("column"), "key", "far", F.lit(False).alias("at_home")).select("pivot", "row", "column", "key", "far", "at_home")
+        cells = at_home.unionAll(guests).join(stored, "key")
+        self.met = materialise(cells.groupBy("pivot", "row", "column").applyInArrow(_join_cell, "home long, guest long, region long"), "met")
+
+    def edges(self) -> DataFrame:
+        """Pairs of keys (a, b) that connect what is similar, without all pairs of a region."""
+        return self.homes.select(F.col("key").alias("a"), F.col("pivot").alias("b")).unionAll(self.linked).unionAll(self.whole.select("key", "region")).unionAll(self.met.select("guest", "region").distinct())
+
+    def links(self) -> DataFrame:
+        """key and the number of documents of other keys that those of the key are similar to, where there are any."""
+        n = self.classes.select("key", "n")
+        weigh = lambda pairs, other: pairs.join(n.withColumnRenamed("key", other), other)
+        inside = self.homes.select("key", "pivot").unionAll(self.regions.select(F.col("pivot").alias("key"), "pivot")).join(n, "key")
+        total = inside.groupBy("pivot").agg(F.sum("n").alias("total"))
+        parts = [inside.join(total, "pivot").select("key", (F.col("total") - F.col("n")).alias("links"))]
+        for pairs, a, b in ((self.linked, "a", "b"), (self.linked, "b", "a"), (self.met, "home", "guest"), (self.met, "guest", "home")):
+            parts.append(weigh(pairs.select(a, b), b).select(F.col(a).alias("key"), F.col("n").alias("links")))
+        # sets that are similar to all at home in a region, but for its pivot, with which they are linked
+        homes = self.homes.join(n, "key").select("key", F.col("pivot").alias("region"), "n")
+        parts.append(self.whole.join(homes.groupBy("region").agg(F.sum("n").alias("links")), "region").select("key", "links"))
+        guests = self.whole.join(n, "key").groupBy("region").agg(F.sum("n").alias("links"))
+        parts.append(homes.join(guests, "region").select("key", "links"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionAll(p)
+        return out.groupBy("key").agg(F.sum("links").alias("links"))
+
+    def groups(self) -> DataFrame:
+        """(key, group): the least key that each key with a similar one is connected to."""
+        return components(materialise(self.edges(), "edges"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, similarity) of documents whose sets of word pairs have a Jaccard similarity of T or more.
+    """doc_id, class_id, links of each document: the class it is in, and how many other documents have a set of word pairs
+    whose Jaccard similarity with its own is T or more. similar_pairs() tells which.
 
-    Documents with equal sets are one group: its least id is paired with each other one (similarity 1), and
-    stands for the group in pairs with other groups, which would be the same for all of it. All pairs of such
-    representatives are there. A document of one word has that word for a set; null, empty and wordless texts
-    have no set and no partner. Rows with equal id and text are one document. Null ids stay null and are
-    never a group's least id unless it has no other. Other columns are ignored; an empty table gives no rows. Texts
+    A class holds what is connected by such similarity; its id is the least document id in it. Alone in its class, a
+    document has its own id for it and no links. A document of one word has that word for a set; null, empty and
+    wordless texts have no set and are alone. Rows with equal id and set are one document. Null ids stay null and
+    are a class's id only if it has no other. Other columns are ignored; an empty table gives no rows. Texts
     are read whole.
     """
-    sets = summaries(docs)
-    pairs = similar_sets(docs, sets)
-    members = sets.select("key", "doc_id").distinct()
-    first = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    copies = members.join(first.where("n > 1"), "key").where("NOT doc_id <=> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
-    a, b = (first.select(F.col("key").alias(k), F.col("least").alias(f"id_{k}")) for k in "ab")
-    named = pairs.join(a, "a").join(b, "b")
-    swap = F.coalesce(F.col("id_a") > F.col("id_b"), F.lit(False))
-    named = named.select(F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("doc_a"), F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("doc_b"), "similarity")
-    return copies.unionAll(named)
+    joined = Joined(docs)
+    group = joined.groups()
+    several = joined.classes.select("key", "n", "least").join(group, "key", "left").join(joined.links(), "key", "left").where("n > 1 OR group IS NOT NULL")
+    several = several.select("key", "least", F.coalesce("group", "key").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    several = materialise(several, "several")
+    named = several.join(several.groupBy("group").agg(F.min("least").alias("class_id")), "group").select("key", "class_id", "links", F.lit(True).alias("many"))
+    rows = joined.sets.select("key", "doc_id").distinct().join(named, "key", "left")
+    return rows.select("doc_id", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def similar_pairs(docs: DataFrame) -> DataFrame:
+    """doc_a <= doc_b: all pairs of different documents that similar_documents() counts, which may be as many as the square
+    of a group's size; cases as there, a null id standing first."""
+    joined = Joined(docs)
+    members = joined.sets.where("key != 0").select("key", "doc_id").distinct()
+    inside = joined.homes.select("key", "pivot").unionAll(joined.regions.select(F.col("pivot").alias("key"), "pivot"))
+    x, y = inside.select(F.col("key").alias("a"), "pivot"), inside.select(F.col("key").alias("b"), "pivot")
+    keys = x.join(y, "pivot").where("a < b").select("a", "b").unionAll(joined.linked).unionAll(joined.met.select("home", "guest"))
+    keys = keys.unionAll(joined.whole.join(joined.homes.select(F.col("key").alias("b"), F.col("pivot").alias("region")), "region").select("key", "b"))
+    keys = keys.unionAll(joined.classes.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    a, b = (members.select(F.col("key").alias(k), F.col("doc_id").alias(f"doc_{k}")) for k in "ab")
+    pairs = keys.join(a, "a").join(b, "b").where("a != b OR NOT doc_a <=> doc_b")
+    swap = F.coalesce(F.col("doc_a") > F.col("doc_b"), F.col("doc_b").isNull())
+    pairs = pairs.select(F.when(swap, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_a"), F.when(swap, F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_b"))
+    return pairs.distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -649,10 +766,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of several are shuffled.
     """
     spark = docs.sparkSession
-    sets = summaries(docs)
-    # written, for the search for components reads the pairs from both ends
-    group = components(materialise(similar_sets(docs, sets).select("a", "b"), "pairs"))
-    grouped = sets.select("key").groupBy("key").agg(F.count("*").alias("n")).join(group, "key", "left")
+    joined = Joined(docs)
+    # rows that repeat a document count here
+    grouped = joined.sets.where("key != 0").groupBy("key").agg(F.count("*").alias("n")).join(joined.groups(), "key", "left")
     several = materialise(grouped.where("n > 1 OR group IS NOT NULL").select("key", F.coalesce("group", "key").alias("group")), "several")
     files, n = key_filter(several.select("key"))
     names = docs.columns

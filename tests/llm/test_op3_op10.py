@@ -67,47 +67,47 @@ def _corpus():
     return rows
 
 
-def _check(rows, got):
-    """Every reported pair is right, and with equal sets as one document every pair is there."""
-    want = _all_pairs(rows)
-    texts = dict(rows)
-    least = {}
-    for i, t in rows:
-        least[_set(t)] = min(i, least.get(_set(t), i))
-    for (a, b), s in got.items():
-        assert abs(want[a, b] - s) < 1e-6
-    need = {tuple(sorted((least[_set(texts[a])], least[_set(texts[b])]))) for a, b in want}
-    need = {(a, b) for a, b in need if a != b}
-    need |= {(least[_set(t)], i) for i, t in rows if _set(t) and least[_set(t)] != i}
-    assert set(got) == need
-
-
-def _found(df):
-    return {(r["doc_a"], r["doc_b"]): r["similarity"] for r in df.collect()}
+def _check(rows, docs):
+    """All pairs are told and no others; classes are what they connect; links are their numbers."""
+    want = set(_all_pairs(rows))
+    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(docs).collect()}
+    assert got == want
+    group = _groups([i for i, _ in rows], want)
+    links = dict.fromkeys(group, 0)
+    for pair in want:
+        for i in pair:
+            links[i] += 1
+    assert sorted(map(tuple, ngram_join.similar_documents(docs).collect())) == sorted((i, group[i], links[i]) for i in group)
 
 
 def test_join_against_brute_force(spark):
     rows = _corpus()
-    _check(rows, _found(ngram_join.similar_documents(make(spark, rows))))
+    _check(rows, make(spark, rows))
 
 
 def test_join_over_the_small_table(spark, sf):
     docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
-    _check([(r["doc_id"], r["text"] or "") for r in docs.collect()], _found(ngram_join.similar_documents(docs)))
+    _check([(r["doc_id"], r["text"] or "") for r in docs.collect()], docs)
+
 
+def test_near_copies_are_at_home_in_regions(spark):
+    joined = ngram_join.Joined(make(spark, _corpus()))
+    # of the copies a part has so few words changed that it is within the radius of its pivot
+    assert joined.homes.count() + joined.regions.count() > 40 and joined.met.count() + joined.whole.count() > 0
 
-def test_only_the_last_level(spark, monkeypatch):
-    """Without any dense place there is no pivot, and the prefixes alone find all."""
-    monkeypatch.setattr(ngram_join, "DENSE", 10**9)
+
+def test_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 3)
     rows = _corpus()
-    _check(rows, _found(ngram_join.similar_documents(make(spark, rows))))
+    _check(rows, make(spark, rows))
 
 
-def test_several_passes_of_pivots(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "DENSE", 2)
-    monkeypatch.setattr(ngram_join, "PASS_BYTES", 20_000)
+def test_without_regions(spark, monkeypatch):
+    """With a radius that no copy reaches, every set is its own pivot."""
+    monkeypatch.setattr(ngram_join, "RADIUS", -1.0)
+    monkeypatch.setattr(ngram_join, "LEVELS", (0.6, 0.6, 0.6))
     rows = _corpus()
-    _check(rows, _found(ngram_join.similar_documents(make(spark, rows))))
+    _check(rows, make(spark, rows))
 
 
 def test_regions_divide_exactly():
@@ -119,15 +119,14 @@ def test_regions_divide_exactly():
         s -= set(rng.choice(sorted(s), rng.integers(0, 25), replace=False).tolist())
         sets.append(np.array(sorted(s | set(rng.integers(0, 5000, rng.integers(0, 8)).tolist())), np.uint64))
     home, guest = np.arange(500), np.arange(500, 700)
-    got = {(min(i, j), max(i, j)): s for i, j, s in ngram_join.join_region(sets, home, guest)}
-    want = {}
-    for i in range(500):
-        for j in range(i + 1, 700):
+    got = ngram_join.join_region(sets, home, guest)
+    want = set()
+    for i in home:
+        for j in guest:
             c = len(np.intersect1d(sets[i], sets[j]))
             if c / (len(sets[i]) + len(sets[j]) - c) >= ngram_join.T - 1e-9:
-                want[i, j] = 1
-    assert set(got) == set(want) and len(want) > 1000
-    assert len(ngram_join.join_region(sets, home, guest)) == len(got)
+                want.add((i, j))
+    assert set(got) == want and len(want) > 1000 and len(got) == len(want)
 
 
 def test_prefixes_share_enough():
@@ -136,13 +135,13 @@ def test_prefixes_share_enough():
     for _ in range(400):
         n = int(rng.integers(1, 400))
         x = rng.choice(100_000, n, replace=False)
-        keep = x[: max(1, int(n * rng.uniform(0.6, 1)))]
+        keep = x[: max(1, int(n * rng.uniform(0.2, 1)))]
         y = np.concatenate([keep, rng.choice(np.arange(100_000, 200_000), int(rng.integers(0, n // 3 + 1)), replace=False)])
         c = len(keep)
-        if c / (len(x) + len(y) - c) < ngram_join.T:
-            continue
-        cut = [np.sort(s)[: len(s) - int(np.ceil(ngram_join.T * len(s) - 1e-9)) + int(ngram_join.prefix_matches(np.array([len(s)]))[0])] for s in (x, y)]
-        assert len(np.intersect1d(*cut)) >= ngram_join.prefix_matches(np.array([min(len(x), len(y))]))[0]
+        for least in ngram_join.LEVELS:
+            if c / (len(x) + len(y) - c) >= least:
+                cut = [np.sort(s)[: int(ngram_join._prefix(np.array([len(s)]), least)[0])] for s in (x, y)]
+                assert len(np.intersect1d(*cut)) >= ngram_join.prefix_matches(np.array([min(len(x), len(y))]), least)[0]
 
 
 def test_one_of_each(spark):
@@ -155,12 +154,15 @@ def test_one_of_each(spark):
 
 
 def test_join_odd(spark, odd, nothing):
-    pairs = _found(ngram_join.similar_documents(odd))
-    assert pairs == {(5, 6): 1.0, (5, None): 1.0, (7, 8): 1.0}
+    pairs = {(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(odd).collect()}
+    assert pairs == {(5, 6), (None, 5), (None, 6), (7, 8)}
+    rows = [tuple(r) for r in ngram_join.similar_documents(odd).collect()]
+    # the documents without id are a wordless one, one on its own, and one in the class of 5
+    assert sorted(rows, key=str) == sorted([*((i, i, 0) for i in (1, 2, 3, 4, 9, 10)), (5, 5, 2), (6, 5, 2), (None, 5, 2), (7, 7, 1), (8, 7, 1), (None, None, 0), (None, None, 0)], key=str)
     kept = ngram_join.one_of_each(odd).collect()
     # nulls, blank and wordless rows stay; of documents 5, 5, 6 and one without id the first stays, of 7 and 8 the first
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, i) for i in (1, 2, 3, 4, 5, 7, 9, 10)] + [(True, 0)] * 3
-    assert _found(ngram_join.similar_documents(nothing)) == {} and ngram_join.one_of_each(nothing).count() == 0
+    assert ngram_join.similar_documents(nothing).count() == ngram_join.similar_pairs(nothing).count() == ngram_join.one_of_each(nothing).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
