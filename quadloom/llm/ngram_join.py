@@ -2,8 +2,8 @@
 
 Jaccard distance is a metric, which the join uses at three levels:
 
-* Pivots. Sets that share a sketch with a set of lesser key, its pivot, and are within RADIUS of it are at home in the pivot's
-  region, the nearest pivot counting; every other set is the pivot of a region of its own, of radius 0. As
+* Pivots. Of the sets that share a sketch, the one whose min-hashes most others have leads. Sets within RADIUS of a leader that has
+  no leader itself are at home in its region, the nearest counting; every other set is the pivot of a region of its own, of radius 0. As
   RADIUS is half of the greatest distance of similar sets, all sets of a region are similar to each other by the
   triangle inequality: a region is never joined with itself, however many sets it has.
 * Windows. Sets of two regions can be similar only if their pivots are no farther apart than 1 - T and both radii. Which
@@ -11,6 +11,7 @@ Jaccard distance is a metric, which the join uses at three levels:
   their prefixes for s in common when n-grams are put in one order, the rare ones first. Only pivots are in that
   index, each with the prefixes that its radius asks for, so a set that many near copies have stands there once.
   Where both regions have several sets, each set of one goes to the other if its distance to the pivot there allows it.
+  Pivots that may be near are compared in cells of sets that have a leader in common, so a set goes to a cell, not to each pair.
 * Regions. For a set that visits a region, the distances to the pivot settle most pairs: they are similar if the two
   distances add up to 1 - T at most, and aren't if they differ by more. The rest is joined on whole sets, in cells of CELL
   home sets and CELL visitors at most, which pivots of their own divide again and again while that saves comparisons.
@@ -39,7 +40,9 @@ T = 0.6
 THETA = 1 - T
 #: Home radius of a region. Sets within it of one pivot are similar to each other if it is at most THETA / 2.
 RADIUS = THETA / 2
-SKETCHES = 3
+#: Min-hashes of a set. The first ones make sketches of two each; all tell which set stands in the middle of others.
+MINS = 16
+SKETCHES = 4
 #: Similarity of pivots that the index finds: of two regions of radius 0, of one and one that has a radius, of two that have.
 LEVELS = (T, T - RADIUS, T - 2 * RADIUS)
 #: Home sets, and visitors, of a region that are compared in one task at most.
@@ -86,24 +89,20 @@ def _sets(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 # --- what each document's set is: key, size, sketches -------------------------------------------------
 
-_SUMMARY = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), *[(f"s{i}", pa.int64()) for i in range(SKETCHES)]])
-_SUMMARY_SQL = "key long, doc_id long, size int, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
+_SUMMARY = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("mins", pa.binary())])
+_SUMMARY_SQL = "key long, doc_id long, mins binary"
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, fp, doc, key, size in _sets(batch.column(1)):
+        for a, b, fp, _, key, size in _sets(batch.column(1)):
             some = np.flatnonzero(size)
             begin = (np.cumsum(size) - size)[some]
-            sketches = []
-            for i in range(SKETCHES):
-                out = np.zeros(b - a, np.uint64)
-                if len(some):
-                    two = [np.minimum.reduceat(textkit.mix(fp, 300 + 2 * i + j), begin) for j in range(2)]
-                    out[some] = textkit.mix(two[0] ^ (two[1] << np.uint64(1)), 40 + i)
-                sketches.append(out.view(np.int64))
-            arrays = [pa.array(key), batch.column(0)[a:b], pa.array(size.astype(np.int32)), *map(pa.array, sketches)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_SUMMARY)
+            mins = np.zeros((b - a, MINS), np.uint32)
+            if len(some):
+                for i in range(MINS):
+                    mins[some, i] = np.minimum.reduceat(textkit.mix(fp, 300 + i), begin) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)[a:b], pa.array([x.tobytes() for x in mins], pa.binary())], schema=_SUMMARY)
 
 
 # --- how many documents have an n-gram: only the frequent ones are kept -------------------------------
@@ -552,21 +551,30 @@ def _some_sets(files: list[str], n: int, less: tuple[list[str], int] | None):
 
 
 def _verify(least: float):
+    """Similar pairs of rows sorted by cell: the sets of a cell (pair: false), then its pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
         for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            x, y = batch.column(2), batch.column(3)
-            alike = np.zeros(len(a))
-            for i in range(len(a)):
-                p, q = _unpacked(x[i].as_buffer()), _unpacked(y[i].as_buffer())
+            pair, a, b = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            fps, out = batch.column(4), []
+            for i, c in enumerate(batch.column(0).to_pylist()):
+                if c != cell:
+                    cell, sets = c, {}
+                if not pair[i]:
+                    sets[a[i]] = _unpacked(fps[i].as_buffer())
+                    continue
+                p, q = sets[a[i]], sets[b[i]]
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                c = int((q[at] == p).sum())
-                alike[i] = c / (len(p) + len(q) - c)
-            ok = alike >= least - _EPS
-            yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok], "similarity": alike[ok]}, _PAIR)
+                common = int(np.count_nonzero(q[at] == p))
+                alike = common / (len(p) + len(q) - common)
+                if alike >= least - _EPS:
+                    out.append((a[i], b[i], alike))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PAIR, strict=True)], schema=_PAIR)
 
     return run
 
@@ -578,10 +586,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _compared(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs of keys (a, b) that reach `least`, from stored sets."""
-    left, right = (sets.select(F.col("key").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "fps_a", "fps_b").mapInArrow(lean(_verify(least)), _PAIR_SQL)
+def _compared(sets: DataFrame, pairs: DataFrame, families: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs of keys (a, b) that reach `least`, from stored sets.
+
+    A cell holds the pairs between two families (or parts of them, or sets without one), so at most 2 * CELL sets.
+    """
+    of = {k: families.select(F.col("key").alias(k), F.col("family").alias(f"f_{k}")) for k in "ab"}
+    pairs = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    f, g = (F.coalesce(f"f_{k}", k) for k in "ab")
+    pairs = pairs.select(F.xxhash64(F.least(f, g), F.greatest(f, g)).alias("cell"), F.lit(True).alias("pair"), "a", "b")
+    keys = pairs.select("cell", F.col("a").alias("key")).unionAll(pairs.select("cell", "b")).distinct()
+    rows = pairs.withColumn("fps", F.lit(None).cast("binary")).unionAll(keys.join(sets, "key").select("cell", F.lit(False), "key", F.lit(None).cast("long"), "fps"))
+    return rows.repartition("cell").sortWithinPartitions("cell", "pair").mapInArrow(lean(_verify(least)), _PAIR_SQL)
 
 
 class Joined:
@@ -601,17 +617,27 @@ class Joined:
         texts = _texts(docs)
         self.sets = materialise(texts.mapInArrow(lean(_summary), _SUMMARY_SQL), "sets")
         self.texts = texts = texts.select("text")
-        one = [F.first(c).alias(c) for c in ("size", *(f"s{i}" for i in range(SKETCHES)))]
-        self.classes = classes = materialise(self.sets.where("key != 0").dropDuplicates(["key", "doc_id"]).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *one), "classes")
+        self.classes = classes = materialise(self.sets.where("key != 0").dropDuplicates(["key", "doc_id"]).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins")), "classes")
 
         # pivots and homes
-        sketches = classes.select("key", F.explode(F.array(*[F.col(f"s{i}") for i in range(SKETCHES)])).alias("sketch"))
-        leaders = sketches.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("many")).where("many > 1").select("sketch", "leader")
-        near = materialise(sketches.join(leaders, "sketch").where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "near")
+        part = lambda i, n: F.expr(f"substring(mins, {4 * i + 1}, {4 * n})")
+        sketches = classes.select("key", "mins", F.posexplode(F.array(*[part(2 * i, 2) for i in range(SKETCHES)])).alias("i", "sketch")).select("key", "mins", F.xxhash64("i", "sketch").alias("sketch"))
+        shared = sketches.groupBy("sketch").agg(F.count("*").alias("many")).where("many > 1").select("sketch")
+        sketches = materialise(sketches.join(shared, "sketch"), "sketches")
+        votes = sketches.groupBy("key").agg(F.first("mins").alias("mins")).select("key", F.posexplode(F.array(*[part(i, 1) for i in range(MINS)])).alias("i", "min"))
+        central = votes.join(votes.groupBy("i", "min").agg(F.count("*").alias("n")), ["i", "min"]).groupBy("key").agg(F.sum(F.floor(1000 * F.log2("n"))).alias("votes"))
+        sketches = sketches.select("key", "sketch").join(central, "key")
+        leaders = sketches.groupBy("sketch").agg(F.max(F.struct("votes", F.col("key").alias("leader"))).alias("top"))
+        near = sketches.join(leaders, "sketch").where("key != top.leader").groupBy(F.col("key").alias("a"), F.col("top.leader").alias("b")).agg(F.max("top.votes").alias("votes"))
+        near = materialise(near, "near")
+        best = near.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select(F.col("a").alias("key"), F.col("best.b").alias("family"))
+        families = best.groupBy("family").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+        families = best.join(families, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("family"))
+        self.families = families = materialise(families, "families")
         keys = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
         known = key_filter(keys)
         stored = materialise(texts.mapInArrow(lean(_some_sets(*known, None)), "key long, fps binary").dropDuplicates(["key"]), "set-store")
-        close = materialise(_compared(stored, near, 1 - RADIUS), "close")
+        close = materialise(_compared(stored, near.select("a", "b"), families, 1 - RADIUS), "close")
         roots = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
         homes = roots.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("b")).alias("least"))).alias("best"))
         self.homes = homes = materialise(homes.select(F.col("a").alias("key"), (-F.col("best.least")).alias("pivot"), (1 - F.col("best.similarity")).alias("far")), "homes")
@@ -629,7 +655,7 @@ class Joined:
         others = texts.mapInArrow(lean(_some_sets(*key_filter(keys), known)), "key long, fps binary").dropDuplicates(["key"])
         stored = stored.unionAll(materialise(others, "set-store"))
         wide = {k: regions.select(F.col("pivot").alias(k), F.col("radius").alias(f"radius_{k}")) for k in "ab"}
-        apart = _compared(stored, pairs, LEVELS[2]).join(wide["a"], "a", "left").join(wide["b"], "b", "left").select("a", "b", (1 - F.col("similarity")).alias("far"), *[F.coalesce(f"radius_{k}", F.lit(0.0)).alias(f"radius_{k}") for k in "ab"])
+        apart = _compared(stored, pairs, families, LEVELS[2]).join(wide["a"], "a", "left").join(wide["b"], "b", "left").select("a", "b", (1 - F.col("similarity")).alias("far"), *[F.coalesce(f"radius_{k}", F.lit(0.0)).alias(f"radius_{k}") for k in "ab"])
         apart = materialise(apart.where(F.col("far") <= THETA + _EPS + F.col("radius_a") + F.col("radius_b")), "apart")
 
         # sets that visit regions: of two regions with a radius, those of a visit b
@@ -638,7 +664,7 @@ class Joined:
         both = apart.where("radius_a > 0 AND radius_b > 0")
         few = few.unionAll(both.select("a", "b", "far", "radius_b"))
         going = both.join(homes.select(F.col("key").alias("x"), F.col("pivot").alias("a"), F.col("far").alias("out")), "a").where(F.col("far") - F.col("out") <= THETA + _EPS + F.col("radius_b"))
-        going = _compared(stored, going.select(F.col("x").alias("a"), "b"), 1 - THETA - RADIUS).join(wide["b"], "b").select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"), F.col("radius_b").alias("radius"))
+        going = _compared(stored, going.select(F.col("x").alias("a"), "b"), families, 1 - THETA - RADIUS).join(wide["b"], "b").select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"), F.col("radius_b").alias("radius"))
         visits = materialise(going.where(F.col("far") <= THETA + _EPS + F.col("radius")).withColumn("at_pivot", F.lit(False)).unionAll(few.where(F.col("far") <= THETA + _EPS + F.col("radius")).withColumn("at_pivot", F.lit(True))), "visits")
         self.linked = apart.where(F.col("far") <= THETA + _EPS).select("a", "b").unionAll(visits.where(~F.col("at_pivot") & (F.col("far") <= THETA + _EPS)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         self.whole = visits.where(F.col("far") + F.col("radius") <= THETA + _EPS).select("key", F.col("pivot").alias("region"))
