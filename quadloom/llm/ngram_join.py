@@ -33,16 +33,17 @@ from pyspark.sql import types as S
 
 from quadloom.llm import textkit
 from quadloom.llm.common import carried, filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
-from quadloom.llm.pairing import _bits, _read_filter, by_shard, key_filter
+from quadloom.llm.pairing import _bits, _keeper, _read_filter, by_shard, key_filter
 
 WORDS = 2
 T = 0.6
 THETA = 1 - T
 #: Home radius of a region. Sets within it of one pivot are similar to each other if it is at most THETA / 2.
 RADIUS = THETA / 2
-#: Min-hashes of a set. The first ones make sketches of two each; all tell which set stands in the middle of others.
-MINS = 16
-SKETCHES = 4
+#: Sketches of a set, of so many min-hashes each; the min-hashes also tell which set stands in the middle of others.
+SKETCHES = 5
+SKETCH_MINS = 3
+MINS = SKETCHES * SKETCH_MINS
 #: Similarity of pivots that the index finds: of two regions of radius 0, of one and one that has a radius, of two that have.
 LEVELS = (T, T - RADIUS, T - 2 * RADIUS)
 #: Home sets, and visitors, of a region that are compared in one task at most.
@@ -281,6 +282,9 @@ _MET = pa.schema([("home", pa.int64()), ("guest", pa.int64()), ("region", pa.int
 
 def _join_cell(cell: pa.Table) -> pa.Table:
     """Similar pairs of a cell: rows are pivot, part, other part, key, far, at_home and the set."""
+    # a stored set may be there several times
+    names = {x: i for i, x in enumerate(zip(cell["key"].to_pylist(), cell["at_home"].to_pylist(), strict=True))}
+    cell = cell.take(pa.array(sorted(names.values()), pa.int64()))
     key, far, at_home = (cell[c].to_numpy() for c in ("key", "far", "at_home"))
     fps = cell["fps"].combine_chunks() if cell.num_rows else cell["fps"]
     sets = [_unpacked(fps[i].as_buffer()) for i in range(len(key))]
@@ -586,6 +590,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _needed(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored sets whose keys are among `keys`, and few others; the rest needn't be shuffled to be joined."""
+    return sets.mapInArrow(lean(_keeper(*key_filter(keys))), sets.schema)
+
+
 def _compared(sets: DataFrame, pairs: DataFrame, families: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs of keys (a, b) that reach `least`, from stored sets.
 
@@ -594,9 +603,9 @@ def _compared(sets: DataFrame, pairs: DataFrame, families: DataFrame, least: flo
     of = {k: families.select(F.col("key").alias(k), F.col("family").alias(f"f_{k}")) for k in "ab"}
     pairs = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
     f, g = (F.coalesce(f"f_{k}", k) for k in "ab")
-    pairs = pairs.select(F.xxhash64(F.least(f, g), F.greatest(f, g)).alias("cell"), F.lit(True).alias("pair"), "a", "b")
+    pairs = materialise(pairs.select(F.xxhash64(F.least(f, g), F.greatest(f, g)).alias("cell"), F.lit(True).alias("pair"), "a", "b"), "celled")
     keys = pairs.select("cell", F.col("a").alias("key")).unionAll(pairs.select("cell", "b")).distinct()
-    rows = pairs.withColumn("fps", F.lit(None).cast("binary")).unionAll(keys.join(sets, "key").select("cell", F.lit(False), "key", F.lit(None).cast("long"), "fps"))
+    rows = pairs.withColumn("fps", F.lit(None).cast("binary")).unionAll(keys.join(_needed(sets, keys.select("key").distinct()), "key").select("cell", F.lit(False), "key", F.lit(None).cast("long"), "fps"))
     return rows.repartition("cell").sortWithinPartitions("cell", "pair").mapInArrow(lean(_verify(least)), _PAIR_SQL)
 
 
@@ -621,7 +630,7 @@ class Joined:
 
         # pivots and homes
         part = lambda i, n: F.expr(f"substring(mins, {4 * i + 1}, {4 * n})")
-        sketches = classes.select("key", "mins", F.posexplode(F.array(*[part(2 * i, 2) for i in range(SKETCHES)])).alias("i", "sketch")).select("key", "mins", F.xxhash64("i", "sketch").alias("sketch"))
+        sketches = classes.select("key", "mins", F.posexplode(F.array(*[part(SKETCH_MINS * i, SKETCH_MINS) for i in range(SKETCHES)])).alias("i", "sketch")).select("key", "mins", F.xxhash64("i", "sketch").alias("sketch"))
         shared = sketches.groupBy("sketch").agg(F.count("*").alias("many")).where("many > 1").select("sketch")
         sketches = materialise(sketches.join(shared, "sketch"), "sketches")
         votes = sketches.groupBy("key").agg(F.first("mins").alias("mins")).select("key", F.posexplode(F.array(*[part(i, 1) for i in range(MINS)])).alias("i", "min"))
@@ -636,7 +645,7 @@ class Joined:
         self.families = families = materialise(families, "families")
         keys = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
         known = key_filter(keys)
-        stored = materialise(texts.mapInArrow(lean(_some_sets(*known, None)), "key long, fps binary").dropDuplicates(["key"]), "set-store")
+        stored = materialise(texts.mapInArrow(lean(_some_sets(*known, None)), "key long, fps binary"), "set-store")
         close = materialise(_compared(stored, near.select("a", "b"), families, 1 - RADIUS), "close")
         roots = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
         homes = roots.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("b")).alias("least"))).alias("best"))
@@ -652,7 +661,7 @@ class Joined:
         raw = entries.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), "shard int, a binary, b binary, n binary, need binary")
         pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(lean(_enough), "a long, b long"), "pivot-pairs")
         keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-        others = texts.mapInArrow(lean(_some_sets(*key_filter(keys), known)), "key long, fps binary").dropDuplicates(["key"])
+        others = texts.mapInArrow(lean(_some_sets(*key_filter(keys), known)), "key long, fps binary")
         stored = stored.unionAll(materialise(others, "set-store"))
         wide = {k: regions.select(F.col("pivot").alias(k), F.col("radius").alias(f"radius_{k}")) for k in "ab"}
         apart = _compared(stored, pairs, families, LEVELS[2]).join(wide["a"], "a", "left").join(wide["b"], "b", "left").select("a", "b", (1 - F.col("similarity")).alias("far"), *[F.coalesce(f"radius_{k}", F.lit(0.0)).alias(f"radius_{k}") for k in "ab"])
@@ -678,7 +687,8 @@ class Joined:
         at_home = homes.join(shape, "pivot").select("pivot", mine.alias("row"), every.alias("column"), "key", "far", F.lit(True).alias("at_home"))
         mine, every = spread("columns", "rows")
         guests = unsettled.join(shape, "pivot").select("pivot", every.alias("row"), mine.alias("column"), "key", "far", F.lit(False).alias("at_home")).select("pivot", "row", "column", "key", "far", "at_home")
-        cells = at_home.unionAll(guests).join(stored, "key")
+        cells = materialise(at_home.unionAll(guests), "cells")
+        cells = cells.join(_needed(stored, cells.select("key").distinct()), "key")
         self.met = materialise(cells.groupBy("pivot", "row", "column").applyInArrow(_join_cell, "home long, guest long, region long"), "met")
 
     def edges(self) -> DataFrame:
