@@ -103,48 +103,87 @@ class _Inflated(io.RawIOBase):
         return 0
 
 
+def _line(source: io.BufferedReader) -> bytes:
+    """The next line, however long it is; empty at the end."""
+    line = source.readline(_PIECE)
+    if len(line) < _PIECE or line.endswith(b"\n"):
+        return line
+    pieces = [line]
+    while pieces[-1] and not pieces[-1].endswith(b"\n"):
+        pieces.append(source.readline(_PIECE))
+    return b"".join(pieces)
+
+
+def _skip(source: io.BufferedReader, line: bytes) -> tuple[int, bytes]:
+    """Goes on from a line that begins no record to the next one that does: bytes left out, and that line or nothing."""
+    skipped = 0
+    while line and not line.startswith(b"WARC/"):
+        skipped += len(line)
+        while line and not line.endswith(b"\n"):  # in pieces, for what isn't text may have no lines
+            line = source.readline(_PIECE)
+            skipped += len(line)
+        line = source.readline(_PIECE)
+    return skipped, line
+
+
 def normalise_file(source, out) -> Iterator[tuple]:
-    """Rewrites one stream; yields (record_no, offset, length, id, type, uri, bytes, md5, status)."""
+    """Rewrites one stream; yields (record_no, offset, length, id, type, uri, bytes, md5, status).
+
+    Records go to `out` piece by piece, so none is held whole. What lies between records is left out and gives a row `garbage`
+    with its bytes. A record that the stream ends in is kept as far as it goes, as a member of its own, under status `truncated`.
+    """
     raw = _Inflated(source)
     inflated = io.BufferedReader(raw, _PIECE)
     offset = n = 0
-    try:
-        while True:
+    while True:
+        line = inflated.readline(_PIECE)
+        while line in (b"\r\n", b"\n"):
             line = inflated.readline(_PIECE)
-            while line in (b"\r\n", b"\n"):
-                line = inflated.readline(_PIECE)
+        if line and not line.startswith(b"WARC/"):
+            skipped, line = _skip(inflated, line)
+            yield n, offset, 0, None, None, None, skipped, None, "garbage"
+            n += 1
+        if not line:
+            if raw.cut:
+                yield n, offset, 0, None, None, None, 0, None, "truncated"
+            return
+        squeeze, digest, length = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.md5(usedforsecurity=False), 0
+
+        def put(data: bytes) -> int:
+            out.write(data)
+            return len(data)
+
+        fields, status = {}, "ok"
+        while line not in (b"\r\n", b"\n"):
+            length += put(squeeze.compress(line))  # noqa: B023
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[key.strip().lower()] = value.strip()
+            line = _line(inflated)
             if not line:
-                if raw.cut:
-                    raise EOFError
-                return
-            if not line.startswith(b"WARC/"):
-                yield n, offset, 0, None, None, None, 0, None, "garbage"
-                return
-            head, fields = [line], {}
-            while (line := inflated.readline(_PIECE)) not in (b"\r\n", b"\n"):
-                if not line:
-                    raise EOFError
-                head.append(line)
-                key, _, value = line.decode("utf-8", "replace").partition(":")
-                fields[key.strip().lower()] = value.strip()
-            left = size = int(fields.get("content-length", "0")) if fields.get("content-length", "0").isdigit() else 0
-            squeeze, digest, member = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.md5(usedforsecurity=False), []
-            member.append(squeeze.compress(b"".join(head) + b"\r\n"))
-            while left:
-                piece = inflated.read(min(left, _PIECE))
-                if not piece:
-                    raise EOFError
-                digest.update(piece)
-                member.append(squeeze.compress(piece))
-                left -= len(piece)
-            member.append(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-            # a record is written once it is whole, so the file never holds half a member
-            whole = b"".join(member)
-            out.write(whole)
-            yield n, offset, len(whole), fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), size, digest.hexdigest(), "ok"
-            offset, n = offset + len(whole), n + 1
-    except EOFError:
-        yield n, offset, 0, None, None, None, 0, None, "truncated"
+                status = "truncated"
+                break
+        length += put(squeeze.compress(b"\r\n"))
+        said = fields.get("content-length", "0")
+        left, size = int(said) if said.isdigit() and status == "ok" else 0, 0
+        while left:
+            piece = inflated.read(min(left, _PIECE))
+            if not piece:
+                status = "truncated"
+                break
+            digest.update(piece)
+            length += put(squeeze.compress(piece))
+            left -= len(piece)
+            size += len(piece)
+        length += put(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
+        yield n, offset, length, fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), size, digest.hexdigest(), status
+        offset, n = offset + length, n + 1
+        if status != "ok":
+            return
+
+
+def rewritten_name(path: str) -> str:
+    """Name of the rewritten file: that of the file, after a hash of its whole path, so that no two files meet."""
+    return f"{hashlib.md5(path.encode(), usedforsecurity=False).hexdigest()}-{posixpath.basename(path)}"
 
 
 def _normaliser(to: str):
@@ -157,12 +196,13 @@ def _normaliser(to: str):
                 fs, path = filesystem(name)
                 into, folder = filesystem(to)
                 into.create_dir(folder, recursive=True)
-                final = posixpath.join(folder, posixpath.basename(path))
+                made = rewritten_name(name)
+                final = posixpath.join(folder, made)
                 tmp, spots = f"{final}.{attempt}.tmp", []
                 with fs.open_input_file(path) as source, into.open_output_stream(tmp) as out:
                     rows = []
                     for r in normalise_file(source, out):
-                        rows.append(dict(zip(_INDEX_ARROW.names, (posixpath.join(to, posixpath.basename(path)), *r), strict=True)))
+                        rows.append(dict(zip(_INDEX_ARROW.names, (posixpath.join(to, made), *r), strict=True)))
                         spots += [(r[1], r[2])] if r[-1] == "ok" else []
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, _INDEX_ARROW)
@@ -180,9 +220,9 @@ def normalise(files: DataFrame, to: str) -> DataFrame:
     """Rewrites the files named in column `file`, each by one task; returns the offset index.
 
     Beside each rewritten file lies `<file>.idx`, pairs of int64 (offset, length); the rows returned
-    are also kept as the Parquet table `<to>/index`. A stream that ends within a record gives all whole records
-    and a row of status `truncated`; one that holds something else than a record where one should
-    begin, a row `garbage`. Files of several members, empty files and records without block are read
+    are also kept as the Parquet table `<to>/index`. Files of one name in different folders stay apart. A stream that ends
+    within a record gives all whole records and a row of status `truncated`; where it holds something else than a
+    record, a row `garbage`, and it is read on from the next line that begins one. Files of several members, empty files and records without block are read
     like any other. A file named twice is rewritten once; null names and other columns are ignored. A file is
     written under a name of the attempt and renamed, so repeated tasks agree.
     """
