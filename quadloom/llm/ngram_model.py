@@ -232,19 +232,20 @@ def _scorer(model: dict, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, ids = textkit.text(batch.column(1)), batch.column(0)
-            # read part by part, a filter is better asked for many texts at once
-            for a, b in textkit.slices(column, textkit.SLICE_BYTES * (1 if sent is not None else 2)):
+            # read part by part, a filter is better asked for many texts at once, and a part for all orders
+            for a, b in textkit.slices(column, textkit.SLICE_BYTES * (1 if sent is not None else 6)):
                 words = textkit.Words(column[a:b])
                 level = [np.zeros(len(words.hash), np.int8) for _ in range(ORDERS)]
-                for n, (h, at) in enumerate(_grams(words)):
-                    keys = _untrim(_trim(h))
+                asked = []
+                for h, at in _grams(words):
                     of = _shard(h, shards)
                     order = np.argsort(of, kind="stable")
-                    stops = np.searchsorted(of[order], np.arange(shards + 1).astype(np.uint64))
-                    for s in model["bytes"]:
-                        mine = order[stops[s] : stops[s + 1]]
-                        if len(mine):
-                            level[n][at[mine]] = read_levels(part(s), keys[mine])
+                    asked.append((_untrim(_trim(h))[order], at[order], np.searchsorted(of[order], np.arange(shards + 1).astype(np.uint64))))
+                for s in model["bytes"]:
+                    field = part(s)
+                    for n, (keys, at, stops) in enumerate(asked):
+                        mine = slice(stops[s], stops[s + 1])
+                        level[n][at[mine]] = read_levels(field, keys[mine])
                 total = np.concatenate([[0.0], np.cumsum(_probabilities(level, model["words"], model["vocabulary"]))])
                 count = words.counts
                 log_p = total[words.first[1:]] - total[words.first[:-1]]
