@@ -32,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a folder of our own is used.
+    Only where that setting is absent on one machine (tests) a folder of our own is used; on a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         spark.sparkContext.setCheckpointDir(root)
     return posixpath.join(root, f"{what}-{uuid.uuid4().hex}")

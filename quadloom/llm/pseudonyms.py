@@ -12,6 +12,7 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import lean, prepare, table
 
-#: Stands in where no key is given; whoever has the key can undo the pseudonyms.
-DEMO_KEY = "a key of your own"
+#: Setting of the session that holds the key; whoever has the key can undo the pseudonyms.
+KEY_SETTING = "spark.quadloom.pseudonyms.key"
 ROUNDS = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 
@@ -260,15 +261,19 @@ def _rewriter(key: bytes):
     return run
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_values): every document with its values replaced, and their number.
 
+    The key is a secret: the one given, or that of the session's setting KEY_SETTING, or else one drawn for this call, whose
+    pseudonyms are linked within its result and to nothing else, as nobody knows the key.
+
     A null text stays null and an empty one empty, with 0 values; null ids stay null; repeated rows give
     repeated rows with the same pseudonyms; other columns are ignored; an empty table gives no rows. Texts
     are scanned whole. A number that fails its check (Luhn, mod 97, number plan, calendar) is no personal
     value and stays.
     """
     prepare(docs.sparkSession)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lean(_rewriter(_secret(key))), "doc_id long, text string, n_values long")
 

@@ -45,6 +45,12 @@ def test_damaged_streams():
     assert rows[-1][-1] == "truncated" and all(r[-1] == "ok" for r in rows[:-1]) and len(rows) > 1
     rows, _ = _run(gzip.compress(whole + b"garbage here"))
     assert [r[-1] for r in rows] == ["ok"] * 5 + ["garbage"]
+    rows, out = _run(gzip.compress(whole + b"noise WARC/ no record\r\n" + b"\0" * 600_000 + b"\n" + whole))
+    assert [r[-1] for r in rows] == ["ok"] * 5 + ["garbage"] + ["ok"] * 5 and rows[5][6] == 600_024
+    assert [gzip.decompress(out[r[1] : r[1] + r[2]]) for r in rows[6:]] == [_record(i, prose(i, 400).encode()) for i in range(5)]
+    long = b"http://a/" + b"b" * 700_000
+    rows, _ = _run(gzip.compress(b"WARC/1.0\r\nWARC-Target-URI: " + long + b"\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"))
+    assert [(r[5], r[6], r[-1]) for r in rows] == [(long.decode(), 2, "ok")]
     assert _run(gzip.compress(b""))[0] == [] and _run(b"")[0] == []
     rows, _ = _run(b"".join(gzip.compress(_record(i, b"y")) for i in range(3)))
     assert [r[-1] for r in rows] == ["ok"] * 3
@@ -65,6 +71,13 @@ def test_pages_come_back(spark):
     assert warc.normalise(empty, shared_dir(spark, "n")).count() == 0
 
 
+def test_files_of_one_name(spark):
+    a, b = (warc.write_monoliths(spark.createDataFrame([(i, f"u{i}", f"page {i}")], "page_id long, url string, html string").coalesce(1), shared_dir(spark, "w")) for i in (1, 2))
+    index = warc.normalise(a.unionAll(b), shared_dir(spark, "n"))
+    assert index.select("file").distinct().count() == 2
+    assert sorted(map(tuple, warc.read_records(index).collect())) == [(1, "u1", "page 1"), (2, "u2", "page 2")]
+
+
 def test_op5_covers_all_pages(spark, sf):
     got = warc.op5_warc_normalise(spark, sf)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
@@ -145,10 +158,15 @@ def test_all_documents_come_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     changed = 0
+    spark.conf.set(pseudonyms.KEY_SETTING, "tests")
     for r in pseudonyms.op6_pseudonyms(spark, sf).collect():
-        assert (r["text"], r["n_values"]) == pseudonyms.pseudonymise(texts[r["doc_id"]], pseudonyms._secret(pseudonyms.DEMO_KEY))
+        assert (r["text"], r["n_values"]) == pseudonyms.pseudonymise(texts[r["doc_id"]], pseudonyms._secret("tests"))
         changed += r["text"] != texts[r["doc_id"]]
     assert changed > 0
+    spark.conf.unset(pseudonyms.KEY_SETTING)
+    again = [{r["doc_id"]: r["text"] for r in pseudonyms.op6_pseudonyms(spark, sf).collect()} for _ in range(2)]
+    # without a key of one's own nobody can tell what stands for what
+    assert again[0] != again[1] and again[0].keys() == texts.keys()
 
 
 # --- operator 7 ----------------------------------------------------------------------------------------
