@@ -64,9 +64,15 @@ class Catalog:
         fs.create_dir(posixpath.dirname(path), recursive=True)
         with fs.open_output_stream(path + ".tmp") as out:
             out.write(json.dumps(self.plain(), indent=1).encode())
-        if fs.get_file_info(path).type.name != "NotFound":
+        try:
+            fs.move(path + ".tmp", path)  # at once, where the file system can replace a file
+        except OSError:
+            if fs.get_file_info(path).type.name == "NotFound":
+                raise
+            # until the new one has its name, the old one can be found under another
+            fs.copy_file(path, path + ".old")
             fs.delete_file(path)
-        fs.move(path + ".tmp", path)
+            fs.move(path + ".tmp", path)
         return self
 
     def plain(self) -> dict:
@@ -82,13 +88,20 @@ def table_from(x: dict) -> Table:
     return Table(x["name"], _group(x["subject"]), x["subject_kind"], predicates, x.get("facts") or {})
 
 
-def exists(root: str) -> bool:
+def _current(root: str) -> tuple:
+    """File system and path of the description: under its name, or where replacing it broke off, under the old one's."""
     fs, path = locate(posixpath.join(root, "catalog.json"))
+    there = fs.get_file_info(path).type.name == "File"
+    return (fs, path) if there or fs.get_file_info(path + ".old").type.name != "File" else (fs, path + ".old")
+
+
+def exists(root: str) -> bool:
+    fs, path = _current(root)
     return fs.get_file_info(path).type.name == "File"
 
 
 def load(root: str) -> Catalog:
-    fs, path = locate(posixpath.join(root, "catalog.json"))
+    fs, path = _current(root)
     with fs.open_input_file(path) as f:
         x = json.loads(f.read())
     tables = {t["table"]["name"]: Stored(table_from(t["table"]), t["path"]) for t in x["tables"]}

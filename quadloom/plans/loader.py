@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import sys
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,29 @@ def _optimised(c: Catalog, spark: SparkSession, tables: list, steps: tuple[str,
         return list(pool.map(one, tables))
 
 
+def _compacted(c: Catalog, spark: SparkSession) -> list:
+    """Tables in files of about the advisory partition size, rows in ranges of the subject where it has columns."""
+    made = []
+    for t, df in c.frames(spark):
+        keys = [f"`{x.name}`" for x in t.subject.physical()]
+        made.append((t, df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df.hint("rebalance")))
+    return made
+
+
+def copy_to(spark: SparkSession, c: Catalog, root: str) -> Catalog:
+    """A compacted copy of all tables, with their mapping and dictionaries, below another root; it stands alone."""
+    if posixpath.normpath(root) == posixpath.normpath(c.root):
+        raise ValueError("a copy needs a root of its own")
+    new = Catalog(root, {}, c.namespaces, c.step, 0).renewed(_compacted(c, spark))
+    for name in ("dim-graphs", "dim-predicates"):
+        with contextlib.suppress(AnalysisException):  # made by the first step
+            spark.read.parquet(posixpath.join(c.root, name)).write.mode("overwrite").parquet(posixpath.join(root, name))
+    tables = [s.table for s in new.tables.values()]
+    put_text(posixpath.join(root, "r2rml.ttl"), r2rml.write(new))
+    put_text(posixpath.join(root, "description.ttl"), description.to_turtle(tables))
+    return new
+
+
 def run_step(spark: SparkSession, c: Catalog, step: int) -> Catalog:
     if step == 1:
         c = _dictionary(spark, c)
@@ -108,7 +133,7 @@ def run_step(spark: SparkSession, c: Catalog, step: int) -> Catalog:
             made.append((t.with_facts(unique=unique), df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df))
         c = c.renewed(made)
     elif step == 11:
-        c = c.renewed([(t, df.hint("rebalance")) if not t.subject.physical() else (t, df) for t, df in c.frames(spark)])
+        c = c.renewed(_compacted(c, spark))
     c = replace(c, step=step).saved()
     put_text(posixpath.join(c.root, "description.ttl"), description.to_turtle([s.table for s in c.tables.values()]))
     return c

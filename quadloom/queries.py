@@ -324,6 +324,13 @@ def mapping_view(spark, sf_dir):
     return view.view(spark, loaded(spark, sf_dir))
 
 
+@query(f"SELECT DISTINCT * FROM {_NUMBERED}")
+def whole_load_copy(spark, sf_dir):
+    """All quads after every step of the load, from a compacted copy below another root that was opened anew."""
+    c = loader.copy_to(spark, loaded(spark, sf_dir, last=len(loader.STEPS) - 1), shared_folder(spark, "copy"))
+    return view.view(spark, cat.load(c.root))
+
+
 @query(f"SELECT p, o_kind, g, count(*) AS n FROM (SELECT DISTINCT * FROM {_QUADS}) GROUP BY ALL")
 def mapping_view_counts(spark, sf_dir):
     return view.view(spark, loaded(spark, sf_dir)).groupBy("p", "o_kind", "g").agg(F.count(F.lit(1)).alias("n"))

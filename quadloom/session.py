@@ -22,9 +22,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, below one of our own."""
+    """A new folder below spark.checkpoint.dir; only where that is unset on one machine, below one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         spark.sparkContext.setCheckpointDir(root)
     return posixpath.join(root, f"{what}-{uuid.uuid4().hex}")

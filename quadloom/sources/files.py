@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs as codecs_of_text
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,18 +118,38 @@ def read_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return out
 
 
-def harvest_namespaces(spark: SparkSession, files: list[tuple[str, str]], most: int = 1 << 16) -> dict[str, str]:
-    """Prefixes that Turtle and RDF/XML files declare in their first `most` bytes; the given ones win, then the first file."""
+_DECLARED = re.compile(r"(?im)^\s*@?prefix\s+([\w.-]*):\s*<([^>]*)>|xmlns:([\w.-]+)\s*=\s*[\"']([^\"']*)[\"']")
+#: Text is searched in pieces, which overlap by as much as a declaration may be long.
+_PIECE, _OVERLAP = 1 << 20, 1 << 13
+
+
+def declared_namespaces(stream) -> Iterator[tuple[str, str]]:
+    """Prefix and IRI of each declaration anywhere in a stream, each pair once."""
+    seen, kept, decode = set(), "", codecs_of_text.getincrementaldecoder("utf-8")("replace")
+    while True:
+        data = stream.read(_PIECE)
+        kept += decode.decode(data, not data)
+        for m in _DECLARED.finditer(kept):
+            pair = (m[1], m[2]) if m[2] is not None else (m[3], m[4])
+            if pair not in seen:
+                seen.add(pair)
+                yield pair
+        if not data:
+            return
+        # cut at a line end, so that a line's begin is one in the next piece too
+        cut = kept.rfind("\n", 0, max(0, len(kept) - _OVERLAP))
+        kept = kept[cut + 1 :] if cut >= 0 else kept[-2 * _OVERLAP :]
+
+
+def harvest_namespaces(spark: SparkSession, files: list[tuple[str, str]]) -> dict[str, str]:
+    """Prefixes that Turtle and RDF/XML files declare anywhere; the given ones win, then the first file."""
     prepare(spark)
     some = [(p, format_of(p)) for p, _ in files if format_of(p) != "lines"]
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         for batch in batches:
             for path, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head = codecs.open_stream(path).read(most).decode("utf-8", "replace")
-                found = re.findall(r"(?im)^\s*@?prefix\s+([\w.-]*):\s*<([^>]*)>", head) + re.findall(r"xmlns:([\w.-]+)\s*=\s*[\"']([^\"']*)[\"']", head)
+                found = list(declared_namespaces(codecs.open_stream(path)))
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "prefix": [a for a, _ in found], "iri": [b for _, b in found]}, pa.schema([("path", pa.string()), ("prefix", pa.string()), ("iri", pa.string())]))
 
     out = dict(DEFAULT_NAMESPACES)
@@ -147,7 +169,11 @@ def normalise_blank_nodes(quads: DataFrame) -> DataFrame:
     ids = dense_numbers(labels, ["label"])
     s = ids.select(F.col("label").alias("_ls"), F.col("id").alias("_is"))
     o = ids.select(F.col("label").alias("_lo"), F.col("id").alias("_io"))
-    # terms of other kinds have a null key, so they meet nothing and stay where they are
-    joined = quads.join(s, F.when(F.col("s_kind") == "BNODE", F.col("s")) == F.col("_ls"), "left").join(o, F.when(F.col("o_kind") == "BNODE", F.col("o")) == F.col("_lo"), "left")
+    is_s, is_o = (F.col(k).eqNullSafe("BNODE") for k in ("s_kind", "o_kind"))
+    # quads without blank nodes aren't shuffled; where one term is none, a value that no label has spreads the rows
+    other = F.concat(F.lit("\u0000"), F.xxhash64("s", "p", "o").cast("string"))
+    some = quads.where(is_s | is_o).withColumn("_ks", F.when(is_s, F.col("s")).otherwise(other)).withColumn("_ko", F.when(is_o, F.col("o")).otherwise(other))
+    joined = some.join(s, F.col("_ks") == F.col("_ls"), "left").join(o, F.col("_ko") == F.col("_lo"), "left")
     name = lambda i, c: F.coalesce(F.concat(F.lit("_:b"), F.col(i).cast("string")), F.col(c)).alias(c)
-    return joined.select("s_kind", name("_is", "s"), "p", "o_kind", name("_io", "o"), "o_dt", "o_lang", "g")
+    named = joined.select("s_kind", name("_is", "s"), "p", "o_kind", name("_io", "o"), "o_dt", "o_lang", "g")
+    return named.unionAll(quads.where(~(is_s | is_o)).select(*named.columns))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions.lexical import RDF, XSD
-from quadloom.sources import codecs, files, lines, rdfxml, turtle
+from quadloom.sources import codecs, database, files, lines, rdfxml, turtle
 
 EX = "http://example.org/"
 
@@ -154,3 +154,30 @@ def test_harvest(spark, tmp_path):
     (tmp_path / "a.ttl").write_text("@prefix foo: <http://foo/> .\n@prefix rdf: <http://wrong/> .\n")
     ns = files.harvest_namespaces(spark, [(str(tmp_path / "a.ttl"), "urn:g")])
     assert ns["foo"] == "http://foo/" and ns["rdf"] == RDF
+
+
+def test_harvest_beyond_the_beginning(spark, tmp_path):
+    filler = "".join(f"<http://e/{i}> <http://e/p> <http://e/o> .\n" for i in range(60_000))
+    (tmp_path / "a.ttl").write_text(f"@prefix one: <http://one/> .\n{filler}PREFIX two: <http://two/>\n{filler}")
+    ns = files.harvest_namespaces(spark, [(str(tmp_path / "a.ttl"), "urn:g")])
+    assert ns["one"] == "http://one/" and ns["two"] == "http://two/"
+
+
+def test_quads_without_blank_nodes_are_not_shuffled(spark):
+    rows = [("IRI", f"http://e/{i}", "http://e/p", "IRI", "http://e/o", None, None, "g") for i in range(50)] + [("BNODE", "_:x", "http://e/p", "LITERAL", "1", None, None, "g"), ("IRI", "http://e/s", "http://e/p", "BNODE", "_:x", None, None, "g")]
+    quads = spark.createDataFrame(rows, "s_kind string, s string, p string, o_kind string, o string, o_dt string, o_lang string, g string")
+    out = files.normalise_blank_nodes(quads)
+    assert out.count() == 52 and out.where("s = '_:b0' OR o = '_:b0'").count() == 2 and out.where("s LIKE '_:x'").count() == 0
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = [(i, f"name {i}") for i in range(100)]
+    spark.createDataFrame(rows, "ID long, NAME string").write.format("jdbc").options(url=url, dbtable="PEOPLE", **options).save()
+    whole = database.read_table(spark, url, "PEOPLE", options=options)
+    parts = database.read_table(spark, url, "PEOPLE", "ID", 4, options)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == rows
+    assert parts.rdd.getNumPartitions() == 4 and parts.where("ID < 7").count() == 7
+    spark.createDataFrame([], "ID long, NAME string").write.format("jdbc").options(url=url, dbtable="NOBODY", **options).save()
+    assert database.read_table(spark, url, "NOBODY", "ID", 4, options).count() == 0
