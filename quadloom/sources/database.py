@@ -15,10 +15,8 @@ def read_table(spark: SparkSession, url: str, table: str, key: str | None = None
     value, which the database is asked for; rows whose key is null are in the first part. Without one a single task reads all.
     """
     given = {"url": url, "fetchsize": str(FETCH), **(options or {})}
-    reader = spark.read.format("jdbc").options(**given)
     if key and parts > 1:
-        low, high = reader.option("query", f"SELECT MIN({key}), MAX({key}) FROM {table}").load().first()
+        low, high = spark.read.format("jdbc").options(**given, query=f"SELECT MIN({key}) AS LEAST_KEY, MAX({key}) AS MOST_KEY FROM {table}").load().first()
         if low is not None:
-            bounds = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
-            return spark.read.format("jdbc").options(**given, **bounds).option("dbtable", table).load()
-    return reader.option("dbtable", table).load()
+            given |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**given, dbtable=table).load()
