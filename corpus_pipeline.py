@@ -18,22 +18,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of similar documents the one of least id stays."""
+    """Operator 3: of each group of similar documents the one of least id stays, of equal ids the one of least text.
+
+    Texts that are null or have no words are in no group and stay; null ids come after others; repeated rows are one group, so one
+    of them stays; an empty table gives none.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold an item of the benchmark go."""
+    """Operator 2: documents that hold an item of the benchmark go.
+
+    Texts that are null or empty hold none and stay, as do repeated rows, each; items that are null, empty or very short are never
+    held. With either table empty all documents stay.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: blocks drawn to the target weights, a row for each document's piece of a block."""
+    """Operator 9: blocks drawn to the target weights, a row for each document's piece of a block.
+
+    A document drawn twice has rows for each time. A null source is a source of its own; texts without words fill no block and
+    don't come out; repeated rows are documents each; an empty table gives no rows.
+    """
     return mixture.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: token files, and for each row where its tokens are."""
+    """Operator 8: token files, and for each row where its tokens are.
+
+    Every row has one, in the order of the files: null and empty texts with no tokens, repeated rows one each; an empty table
+    gives no rows.
+    """
     return token_files.token_files(docs, shared_dir(spark, "corpus-tokens"))
 
 
@@ -50,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the documents of `sf_dir`."""
+    """The rows of the last stage for the documents of `sf_dir`; none if no document is left. Cases are those of the stages."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
