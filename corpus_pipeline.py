@@ -38,8 +38,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: blocks drawn to the target weights, a row for each document's piece of a block.
 
-    A document drawn twice has rows for each time. A null source is a source of its own; texts without words fill no block and
-    don't come out; repeated rows are documents each; an empty table gives no rows.
+    A document drawn twice has rows for each time. A null source counts as the empty one; a text without words is an empty piece
+    of a block; repeated rows are documents each; an empty table gives no rows.
     """
     return mixture.mixed_documents(docs)
 
