@@ -10,6 +10,7 @@ Jaccard distance is a metric, which the join uses at three levels:
   pivots are is found by an inverted index over prefixes: two sets of similarity s have at least prefix_matches() n-grams of
   their prefixes for s in common when n-grams are put in one order, the rare ones first. Only pivots are in that
   index, each with the prefixes that its radius asks for, so a set that many near copies have stands there once.
+  A common n-gram's places in two sets tell how many they can have in common at most; where that is too few they aren't counted.
   Where both regions have several sets, each set of one goes to the other if its distance to the pivot there allows it.
   Pivots that may be near are compared in cells of sets that have a leader in common, so a set goes to a cell, not to each pair.
 * Regions. For a set that visits a region, the distances to the pivot settle most pairs: they are similar if the two
@@ -55,6 +56,8 @@ PREFIX_SHARE = 1 / 16
 #: until the list of them has at most FREQUENT_BYTES; it decides on the order only, never on results.
 FREQUENT = 12
 FREQUENT_BYTES = 48 << 20
+#: The index's entries that a worker holds before it sends them on.
+_HELD = 1_000_000
 _LEAF = 128
 _EPS = 1e-9
 
@@ -248,8 +251,13 @@ def _similar(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
 
 def join_region(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (home, guest) of similarity T or more, by number of the set, each pair once."""
+    return list(zip(*(x.tolist() for x in _region_pairs(sets, home, guest)), strict=True))
+
+
+def _region_pairs(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray) -> np.ndarray:
+    """Homes and guests of the pairs of join_region()."""
     size = np.array([len(s) for s in sets])
-    out: list[tuple[int, int]] = []
+    out = [np.zeros((2, 0), np.int32)]
     todo = [(home, guest)]
     while todo:
         home, guest = todo.pop()
@@ -271,8 +279,8 @@ def join_region(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray) ->
         for s in range(0, len(home), 256):
             rows = home[s : s + 256]
             x, y = np.nonzero(_similar(sets, size, rows, guest) >= T - _EPS)
-            out += zip(rows[x].tolist(), guest[y].tolist(), strict=True)
-    return out
+            out.append(np.stack([rows[x], guest[y]]).astype(np.int32))
+    return np.concatenate(out, 1)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -290,14 +298,11 @@ def _join_cell(cell: pa.Table) -> pa.Table:
     sets = [_unpacked(fps[i].as_buffer()) for i in range(len(key))]
     home, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
     far_home, far_guest = far[home], far[guest]
-    pairs = []
     # what distances to the pivot settle isn't compared
     low, high = far_home.min(initial=1), far_home.max(initial=0)
     sure = guest[far_guest + high <= THETA + _EPS]
-    pairs += [(h, g) for g in sure.tolist() for h in home.tolist()]
     open_ = guest[(far_guest + high > THETA + _EPS) & (far_guest - high <= THETA + _EPS) & (low - far_guest <= THETA + _EPS)]
-    pairs += join_region(sets, home, open_)
-    h, g = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    h, g = np.concatenate([np.stack([np.tile(home, len(sure)), np.repeat(sure, len(home))]).astype(np.int32), _region_pairs(sets, home, open_)], 1)
     return pa.table([pa.array(key[h]), pa.array(key[g]), pa.array(np.full(len(h), cell["pivot"][0].as_py() if cell.num_rows else 0, np.int64))], schema=_MET)
 
 
@@ -317,7 +322,7 @@ def _prefix(size: np.ndarray, least: float) -> np.ndarray:
 
 
 def _in_order(fp: np.ndarray, doc: np.ndarray, size: np.ndarray, shards: int, frequent: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams of each set, the rare first, then by fingerprint: gram, document, its place and the first level whose prefix has it."""
+    """N-grams of each set, the rare first, then by fingerprint: gram, document, the first level whose prefix has it and its place."""
     often, number = _read_frequent(frequent)
     gram = _order_key(fp, shards)
     rank = np.zeros(len(gram), np.uint64)
@@ -328,15 +333,22 @@ def _in_order(fp: np.ndarray, doc: np.ndarray, size: np.ndarray, shards: int, fr
     order = np.lexsort((fp, rank, doc))
     place = np.arange(len(fp)) - np.repeat(np.cumsum(size) - size, size)
     level = sum((place >= _prefix(size, s)[doc]).astype(np.int8) for s in LEVELS)
-    return gram[order], doc, level
+    return gram[order], doc, level, place
 
 
-_POSTING = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("gram", "key", "size", "kind")]])
-_POSTING_SQL = "shard int, gram binary, key binary, size binary, kind binary"
+_POSTING = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("gram", "key", "size", "kind", "place")]])
+_POSTING_SQL = "shard int, gram binary, key binary, size binary, kind binary, place binary"
 _BIG = 65_535
-#: Pairs that are looked at in one step, and that wait to be added up.
-_PAIRS_STEP = 1_000_000
-_PAIRS_HELD = 3_000_000
+#: A place in a set is told in so many parts of its size.
+_PLACES = 256
+#: Pairs that are looked at in one step, that wait to be added up, and that are sent on once so many are added up.
+_PAIRS_STEP = 300_000
+_PAIRS_HELD = 1_000_000
+_PAIRS_SENT = 1_000_000
+#: Counts of pairs are added up in so many parts of a shard, one after another.
+_SUBS = 16
+#: No more n-grams in common are counted or asked for.
+_MOST = 255
 
 
 def _among(field: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
@@ -354,22 +366,22 @@ class _Poster:
         self.held, self.total, self.seen = [], 0, set()
 
     def add(self, fp: np.ndarray, doc: np.ndarray, size: np.ndarray, key: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gram, doc, level = _in_order(fp, doc, size, self.shards, self.frequent)
+        gram, doc, level, place = _in_order(fp, doc, size, self.shards, self.frequent)
         # beyond the first level, a set of no radius meets only n-grams of those that have one
         take = np.flatnonzero((level == 0) | (wide[doc] & (level < 3)))
         more = np.flatnonzero((level == 1) & ~wide[doc])
         more = more[_among(_read_filter(tuple(self.grams[0]), self.grams[1]), self.grams[1], gram[more].view(np.int64))]
         take = np.concatenate([take, more])
-        self.held.append([gram[take], key[doc[take]], np.minimum(size[doc[take]], _BIG).astype(np.uint16), (wide[doc[take]] * 4 + level[take]).astype(np.uint8)])
+        self.held.append([gram[take], key[doc[take]], np.minimum(size[doc[take]], _BIG).astype(np.uint16), (wide[doc[take]] * 4 + level[take]).astype(np.uint8), (place[take] * _PLACES // size[doc[take]]).astype(np.uint8)])
         self.total += len(take)
-        if self.total > 3_000_000:
+        if self.total > _HELD:
             yield self.send()
 
     def send(self) -> pa.RecordBatch:
-        gram, key, size, kind = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        gram, *rest = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.total = [], 0
-        rows = list(by_shard((gram >> np.uint64(32)).astype(np.int64), [gram.astype(np.uint32), key, size, kind]))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[i] for _, r in rows], pa.binary()) for i in range(4)]], schema=_POSTING)
+        rows = list(by_shard((gram >> np.uint64(32)).astype(np.int64), [gram.astype(np.uint32), *rest]))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[i] for _, r in rows], pa.binary()) for i in range(5)]], schema=_POSTING)
 
 
 def _fresh(key: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
@@ -430,22 +442,51 @@ def _wide_grams(shards: int, frequent: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, doc, size, _, _ in _stored_sets(batches):
-            gram, _, level = _in_order(fp, doc, size, shards, frequent)
+            gram, _, level, _ = _in_order(fp, doc, size, shards, frequent)
             yield pa.RecordBatch.from_pydict({"gram": np.unique(gram[level < 2]).view(np.int64)})
 
     return run
 
 
-_COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "n", "need")]])
+_COUNTED = pa.schema([("shard", pa.int32()), ("sub", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "n", "need")]])
+_COUNTED_SQL = "shard int, sub int, a binary, b binary, n binary, need binary"
+
+
+def counts_for(size_x: np.ndarray, at_x: np.ndarray, size_y: np.ndarray, at_y: np.ndarray, alike: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether an n-gram at these places (in parts of the size) counts for sets of these sizes, to be `alike` with `need` such n-grams.
+
+    For the sizes of both the prefixes are shorter than for a size alone: if the sets have `both` in common, need of these are
+    among the first size - both + need of either. And what they have in common before an n-gram is among
+    the first of both, what comes after among the last of both.
+    """
+    both = np.ceil(alike / (1 + alike) * (size_x + size_y) - 1e-6)
+    first = [np.ceil(at * size / _PLACES) for at, size in ((at_x, size_x), (at_y, size_y))]
+    last = [np.ceil((at + 1) * size / _PLACES) - 1 for at, size in ((at_x, size_x), (at_y, size_y))]
+    most = np.minimum(*last) + 1 + np.minimum(size_x - first[0] - 1, size_y - first[1] - 1)
+    return (first[0] < size_x - both + need) & (first[1] < size_y - both + need) & (most >= both)
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    a, b, n, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[edge], b[edge], np.minimum(np.add.reduceat(n[order].astype(np.int64), edge), _MOST).astype(np.uint8), need[order[edge]]
 
 
 def _pair_up(shards: int):
+    def send(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        x = textkit.mix(sums[0].view(np.uint64) * np.uint64(31) + sums[1].view(np.uint64)) >> np.uint64(32)
+        rows = list(by_shard(((x * np.uint64(shards * _SUBS)) >> np.uint64(32)).astype(np.int64), list(sums)))
+        at = np.array([s for s, _ in rows], np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(at // _SUBS), pa.array(at % _SUBS), *[pa.array([r[k] for _, r in rows], pa.binary()) for k in range(4)]], schema=_COUNTED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[] for _ in range(4)]
+        held: list[list[bytes]] = [[] for _ in range(5)]
         for batch in batches:
-            for i in range(4):
+            for i in range(5):
                 held[i] += batch.column(i + 1).to_pylist()
-        gram, key, size, kind = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8", "<u2", "u1"), strict=True))
+        gram, key, size, kind, place = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8", "<u2", "u1", "u1"), strict=True))
         held.clear()
         if not len(gram):
             return
@@ -458,33 +499,33 @@ def _pair_up(shards: int):
         if len(gram):
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])  # equal sets count once
             gram, key, order = gram[new], key[new], order[new]
-        size, kind = size[order], kind[order]
+        size, kind, place = size[order].astype(np.int32), kind[order], place[order].astype(np.int32)
         wide, level = kind >> 2, kind & 3
+        levels = np.array(LEVELS)
         sums: list[tuple[np.ndarray, ...]] = []
         waiting, least = 0, _PAIRS_HELD
 
-        def merged() -> tuple[np.ndarray, ...]:
-            a, b, c, need = (np.concatenate(x) for x in zip(*sums, strict=True))
-            order = np.lexsort((b, a))
-            a, b, c, need = a[order], b[order], c[order], need[order]
-            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[edge], b[edge], np.minimum(np.add.reduceat(c.astype(np.int64), edge), 65_535).astype(np.uint16), need[edge]
-
-        def count(x: np.ndarray, y: np.ndarray) -> None:
+        def count(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal waiting, least
             lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            alike = np.array(LEVELS)[wide[x] + wide[y]]
-            ok = (lo >= alike * hi - _EPS) | (hi == _BIG)
-            x, y, lo, alike = x[ok], y[ok], lo[ok], alike[ok]
-            if len(x):
-                a, b = key[x], key[y]
-                sums.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(x), np.uint16), prefix_matches(lo, alike).astype(np.uint16)))
-                waiting += len(x)
+            alike = levels[wide[x] + wide[y]]
+            ok = np.flatnonzero((lo >= alike * hi - _EPS) | (hi == _BIG))
+            x, y, lo, hi, alike = x[ok], y[ok], lo[ok], hi[ok], alike[ok]
+            need = prefix_matches(lo, alike)
+            ok = np.flatnonzero(counts_for(size[x], place[x], size[y], place[y], alike, need) | (hi == _BIG))
+            need = np.minimum(need, _MOST)
+            if len(ok):
+                a, b = key[x[ok]], key[y[ok]]
+                sums.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(ok), np.uint8), need[ok].astype(np.uint8)))
+                waiting += len(ok)
                 if waiting > least:
-                    sums[:] = [merged()]
-                    # what is merged is as large again before it is merged once more
+                    sums[:] = [_added(sums)]
+                    # what is added up is as large again before it is added up once more
                     waiting = 0
                     least = max(_PAIRS_HELD, len(sums[0][0]))
+                    if len(sums[0][0]) > _PAIRS_SENT:
+                        yield send(sums.pop())
+                        least = _PAIRS_HELD
 
         def each(lead: np.ndarray, start: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """lead[i] with start[i], start[i] + 1 ... (number[i] of them), in steps."""
@@ -501,39 +542,41 @@ def _pair_up(shards: int):
             stop = np.repeat(np.append(begin[1:], len(low)), np.diff(np.append(begin, len(low))))
             at = np.arange(len(low))
             for x, y in each(at, at + 1, stop - at - 1):
-                count(low[x], low[y])
+                yield from count(low[x], low[y])
         # beyond it only those with a radius meet others
         lead = np.flatnonzero(wide)
         if len(lead):
             begin, stop = np.searchsorted(gram, gram[lead], "left"), np.searchsorted(gram, gram[lead], "right")
             for x, y in each(lead, begin, stop - begin):
                 ok = ((level[x] > 0) | (level[y] > 0)) & (wide[y] & (x < y) | (wide[y] == 0) & (level[x] < 2) & (level[y] < 2)).astype(bool)
-                count(x[ok], y[ok])
-        if not sums:
-            return
-        a, b, c, need = merged()
-        shard = (((textkit.mix(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64))) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        rows = list(by_shard(shard, [a, b, c, need]))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *[pa.array([r[k] for _, r in rows], pa.binary()) for k in range(4)]], schema=_COUNTED)
+                yield from count(x[ok], y[ok])
+        if sums:
+            yield send(_added(sums))
 
     return run
 
 
 def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[bytes]] = [[] for _ in range(4)]
+    """Pairs with as many n-grams in common as they need; the rows of a part (column 1) lie together."""
+
+    def found(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        a, b, n, need = _added([tuple(np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<i8", "u1", "u1"), strict=True))])
+        keep = n >= need
+        a, b = a[keep], b[keep]
+        for s in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_pydict({"a": a[s : s + 100_000], "b": b[s : s + 100_000]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    part, held = None, [[] for _ in range(4)]
     for batch in batches:
-        for i in range(4):
-            held[i] += batch.column(i + 1).to_pylist()
-    a, b, n, need = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<i8", "<u2", "<u2"), strict=True))
-    if not len(a):
-        return
-    order = np.lexsort((b, a))
-    a, b, n, need = a[order], b[order], n[order].astype(np.int64), need[order]
-    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    keep = np.add.reduceat(n, edge) >= need[edge]
-    a, b = a[edge][keep], b[edge][keep]
-    for s in range(0, len(a), 100_000):
-        yield pa.RecordBatch.from_pydict({"a": a[s : s + 100_000], "b": b[s : s + 100_000]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        for sub, *row in zip(*(batch.column(i + 1).to_pylist() for i in range(5)), strict=True):
+            if sub != part:
+                if part is not None:
+                    yield from found(held)
+                part, held = sub, [[] for _ in range(4)]
+            for to, x in zip(held, row, strict=True):
+                to.append(x)
+    if part is not None:
+        yield from found(held)
 
 
 def _some_sets(files: list[str], n: int, less: tuple[list[str], int] | None):
@@ -658,8 +701,8 @@ class Joined:
         grams = key_filter(own.where("wide").mapInArrow(lean(_wide_grams(shards, frequent)), "gram long"))
         poster = (shards, frequent, grams)
         entries = texts.mapInArrow(lean(_post_texts(poster, *known)), _POSTING_SQL).unionAll(own.mapInArrow(lean(_post_sets(poster)), _POSTING_SQL))
-        raw = entries.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), "shard int, a binary, b binary, n binary, need binary")
-        pairs = materialise(raw.repartitionById(shards, F.col("shard")).mapInArrow(lean(_enough), "a long, b long"), "pivot-pairs")
+        raw = entries.repartitionById(shards, F.col("shard")).mapInArrow(lean(_pair_up(shards)), _COUNTED_SQL)
+        pairs = materialise(raw.repartitionById(shards, F.col("shard")).sortWithinPartitions("sub").mapInArrow(lean(_enough), "a long, b long"), "pivot-pairs")
         keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
         others = texts.mapInArrow(lean(_some_sets(*key_filter(keys), known)), "key long, fps binary")
         stored = stored.unionAll(materialise(others, "set-store"))

@@ -144,6 +144,54 @@ def test_prefixes_share_enough():
                 assert len(np.intersect1d(*cut)) >= ngram_join.prefix_matches(np.array([min(len(x), len(y))]), least)[0]
 
 
+def test_places_leave_enough_to_count():
+    """Of two sets of similarity T or more as many n-grams count, at whatever places they are, as are asked for."""
+    rng = np.random.default_rng(9)
+    for _ in range(600):
+        n = int(rng.integers(1, 900))
+        x = rng.choice(100_000, n, replace=False)
+        keep = x[: max(1, int(n * rng.uniform(0.2, 1)))]
+        y = np.concatenate([keep, rng.integers(0, 100_000 if rng.random() < 0.5 else 100, int(rng.integers(0, n // 3 + 1)))])
+        x, y = np.unique(x), np.unique(y)
+        both = np.intersect1d(x, y)
+        for least in ngram_join.LEVELS:
+            if len(both) / (len(x) + len(y) - len(both)) >= least:
+                size = [np.full(len(both), len(s)) for s in (x, y)]
+                at = [np.searchsorted(s, both) * ngram_join._PLACES // len(s) for s in (x, y)]
+                need = ngram_join.prefix_matches(np.minimum(*size), least)
+                posted = [np.searchsorted(s, both) < ngram_join._prefix(np.array([len(s)]), least)[0] for s in (x, y)]
+                ok = ngram_join.counts_for(size[0], at[0], size[1], at[1], np.full(len(both), least), need)
+                assert (ok & posted[0] & posted[1]).sum() >= need[0]
+
+
+def _entries(sets):
+    """What the index's task of the only shard is given of sets (in the order of n-grams)."""
+    rows = [[], [], [], [], []]
+    for key, s in enumerate(sets, 1):
+        s = s[: int(ngram_join._prefix(np.array([len(s)]), ngram_join.T)[0])], len(s)
+        for to, v in zip(rows, (s[0], np.full(len(s[0]), key), np.full(len(s[0]), s[1]), np.zeros(len(s[0])), np.arange(len(s[0])) * ngram_join._PLACES // s[1]), strict=True):
+            to.append(v)
+    data = [np.concatenate(r).astype(t).tobytes() for r, t in zip(rows, ("<u4", "<i8", "<u2", "u1", "u1"), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], schema=ngram_join._POSTING)
+
+
+def test_pairs_are_sent_in_pieces_of_bounded_size(monkeypatch):
+    """However many pairs a task of the index has, it holds and sends a bounded number at once, and all are added up."""
+    monkeypatch.setattr(ngram_join, "_PAIRS_STEP", 500)
+    monkeypatch.setattr(ngram_join, "_PAIRS_HELD", 1000)
+    monkeypatch.setattr(ngram_join, "_PAIRS_SENT", 1000)
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(10_000, 60, replace=False))
+    sets = [np.unique(np.concatenate([rng.choice(base, 55, replace=False), rng.choice(10_000, 5)])) for _ in range(120)]
+    sent = list(ngram_join._pair_up(1)(iter([_entries(sets)])))
+    size = [sum(len(x) // 8 for x in b.column(2).to_pylist()) for b in sent]
+    assert len(sent) > 3 and max(size) < 4000
+    rows = pa.Table.from_batches(sent).sort_by("sub")
+    got = {p for b in ngram_join._enough(iter(rows.to_batches())) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
+    want = {(i + 1, j + 1) for i, j in itertools.combinations(range(120), 2) if len(c := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(c)) >= ngram_join.T}
+    assert len(want) > 1000 and want <= got
+
+
 def test_one_of_each(spark):
     rows = [*_corpus(), (5000, ""), (5001, "?!"), (5002, "word"), (5003, "word")]
     docs = make(spark, rows)
