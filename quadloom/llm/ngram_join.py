@@ -56,7 +56,9 @@ PREFIX_SHARE = 1 / 16
 #: until the list of them has at most FREQUENT_BYTES; it decides on the order only, never on results.
 FREQUENT = 12
 FREQUENT_BYTES = 48 << 20
-#: The index's entries that a worker holds before it sends them on.
+#: Text whose sets are made at once.
+SLICE_BYTES = 1 << 19
+#: N-grams, or the index's entries, that a worker holds before it sends them on.
 _HELD = 1_000_000
 _LEAF = 128
 _EPS = 1e-9
@@ -85,7 +87,7 @@ def _unpacked(data) -> np.ndarray:
 
 def _sets(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     column = textkit.text(batch_column)
-    for a, b in textkit.slices(column):
+    for a, b in textkit.slices(column, SLICE_BYTES):
         fp, doc = textkit.shingle_sets(column[a:b], WORDS)
         key, size = set_keys(fp, doc, b - a)
         yield a, b, fp, doc, key, size
@@ -145,7 +147,7 @@ def _count(shards: int):
             for *_, fp, _, _, _ in _sets(batch.column(0)):
                 held.append(_order_key(fp, shards))
                 total += len(fp)
-                if total > 4_000_000:
+                if total > _HELD:
                     yield from send(held)
                     held, total = [], 0
         if total:
