@@ -359,6 +359,26 @@ def test_passages_that_repeat_within_a_document(spark):
         assert got.get(i, set()) >= places
 
 
+def test_edited_passages_are_linked():
+    """Of pairs of documents that share a passage with words replaced, left out and put in, hardly any has no link."""
+    rng, texts = random.Random(5), []
+    for k in range(500):
+        w, v = prose(100 + k, rng.choice([52, 60, 80, 150])).split(), []
+        share = rng.choice([0.06, 0.1, 0.13, 0.16])
+        for x in w:
+            r = rng.random()
+            v += [f"n{rng.randrange(10**6)}"] if r < 0.6 * share else [] if r < 0.8 * share else [x, f"n{rng.randrange(10**6)}"] if r < share else [x]
+        texts += [f"{prose(9000 + 20_000 * i + k, 80)} {' '.join(x)} {prose(19_000 + 20_000 * i + k, 80)}" for i, x in enumerate((w, v))]
+    alike = {k for k, _ in passages.alike_passages(*(textkit.Words(textkit.text(pa.array(texts[i::2]))) for i in range(2)))}
+    links = set()
+    for out in passages._windows(1)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])])):
+        for a, b, sides in zip(*(out.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if not sides:
+                links |= {tuple(sorted(x)) for x in zip(*(np.frombuffer(y, "<i8").tolist() for y in (a, b)), strict=True)}
+    missed = [k for k in alike if (2 * k, 2 * k + 1) not in links]
+    assert len(alike) > 400 and len(missed) <= 0.01 * len(alike)
+
+
 def test_passages_odd(spark, odd, nothing):
     rows = _rows(passages.shared_passages(odd))
     assert {r[:2] for r in rows} <= {(a, b) for a in (5, 6, None) for b in (5, 6, None) if a != b}
