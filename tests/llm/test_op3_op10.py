@@ -8,6 +8,7 @@ import pyarrow as pa
 from conftest_llm import make, prose, words
 
 from quadloom.llm import ngram_join, passages, textkit
+from quadloom.llm.pairing import document_key, with_texts
 
 
 def _set(text):
@@ -390,3 +391,20 @@ def test_shingles_are_those_of_plain_words():
     texts = ["a b a b c", "x", "", "Ä ö, Ä"]
     fp, doc = textkit.shingle_sets(textkit.text(pa.array(texts)), 2)
     assert [int((doc == i).sum()) for i in range(4)] == [len(_set(t)) for t in texts]
+
+
+def test_the_shorter_text_of_linked_documents_travels(spark):
+    passage = prose(60_001, 80)
+    docs = make(spark, [(i, prose(61_000 + i, 150 * (1 << i % 4)) + " " + passage, "en") for i in range(32)])
+    keyed = docs.select(document_key().alias("key"), "doc_id", "text")
+    size = {r["key"]: len(r["text"]) for r in keyed.collect()}
+    assert len(size) == 32
+    ordered = [size[k] for k in sorted(size)]
+    assert all(x <= 1.6 * y for i, x in enumerate(ordered) for y in ordered[i:])
+    keys = sorted(size)
+    pairs = spark.createDataFrame([(keys[0], k) for k in keys[1:]], "a long, b long")
+    both = with_texts(keyed, pairs).select("a", "b", "text_a", "text_b").collect()
+    assert sorted((r["a"], r["b"]) for r in both) == [(keys[0], k) for k in keys[1:]]
+    assert all((len(r["text_a"]), len(r["text_b"])) == (size[r["a"]], size[r["b"]]) for r in both)
+    rows = passages.shared_passages(docs).collect()
+    assert {r["doc_id"] for r in rows} == set(range(32))
