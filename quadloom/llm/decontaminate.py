@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, lean, prepare, table
+from quadloom.llm.common import carried_text, lean, prepare, table
 
 #: An item is held if it can be had from the document's words by edits of so many of its words, as a share.
 EDITS = 0.2
@@ -199,15 +199,15 @@ def _prepared(texts: tuple[str, ...]) -> tuple[list[np.ndarray], list[_Index]]:
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("first_word", pa.int64())])
 
 
-def _search(ids: list, texts: list[str], names: list[str] | None):
-    """Pairs (names is None), or the rows of the columns `names` that hold no item."""
+def _search(ids: list, texts: list[str], names: list[str] | None, at: int = 0):
+    """Pairs of ids, which come after the text (names is None), or of the rows of the columns `names` those that hold no item. at: where the text is."""
     frozen = tuple(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, made = _prepared(frozen)
         for batch in batches:
-            column = textkit.text(batch.column(0))
-            rest = batch.select(range(1, batch.num_columns))
+            column = textkit.text(batch.column(at))
+            rest = batch.select(range(1, 2) if names is None else range(len(names)))
             keep = np.ones(len(column), bool)
             for a, b in textkit.slices(column):
                 words = textkit.Words(column[a:b])
@@ -254,8 +254,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     out = docs
     for ids, texts in _passes(items):
-        keyed = carried(out, search=out["text"].cast("string"))
-        out = keyed.mapInArrow(lean(_search(ids, texts, docs.columns)), docs.schema)
+        keyed, at = carried_text(out)
+        out = keyed.mapInArrow(lean(_search(ids, texts, docs.columns, at)), docs.schema)
     return out
 
 

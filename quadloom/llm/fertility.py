@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, lean, prepare, table
+from quadloom.llm.common import carried_text, lean, prepare, table
 from quadloom.llm.tokenizers import VOCABULARIES, byte_pieces, piece_encoder
 
 #: Characters per token from, to; most byte-fallback share; entropy share from. The language bands were
@@ -107,25 +107,25 @@ def _judge(cpt, share, entropy, tokens, script, lang, bands) -> list[str | None]
     return reason
 
 
-def _rows(names: list[str], vocabularies: str, bands: dict, filtering: bool):
+def _rows(names: list[str], text: int, lang: int, rest: range, vocabularies: str, bands: dict, filtering: bool):
+    """text, lang, rest: which columns hold what is judged, and which come out, as the first of `names`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = textkit.text(batch.column(0))
-            lang = batch.column(1).to_pylist()
-            out, keep = [], []
+            column = textkit.text(batch.column(text))
+            langs = batch.column(lang).to_pylist()
+            own = batch.select(rest)
+            out = []
             for a, b in textkit.slices(column):
                 cpt, share, entropy, tokens = _features(column[a:b], vocabularies)
                 script = _scripts(column[a:b])
-                reason = _judge(cpt, share, entropy, tokens, script, lang[a:b], bands)
+                reason = _judge(cpt, share, entropy, tokens, script, langs[a:b], bands)
                 if filtering:
-                    keep.append(np.array([x is None for x in reason], bool))
+                    yield pa.RecordBatch.from_arrays(own.slice(a, b - a).columns, names=names).filter(pa.array([x is None for x in reason], pa.bool_()))
                 else:
                     out.append(pa.table([pa.array(cpt), pa.array(share), pa.array(entropy), pa.array(tokens.astype(np.int64)), pa.array(script, pa.string()), pa.array(reason, pa.string())], names=[f"f{i}" for i in range(6)]))
-            rest = batch.select(range(2, batch.num_columns))
-            if filtering:
-                yield pa.RecordBatch.from_arrays(rest.columns, names=names).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
-            elif out:
-                yield from pa.table([*rest.columns, *pa.concat_tables(out).columns], names=names).combine_chunks().to_batches()
+            if out:
+                yield from pa.table([*own.columns, *pa.concat_tables(out).columns], names=names).combine_chunks().to_batches()
 
     return run
 
@@ -146,15 +146,15 @@ def quality_features(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: d
     rest = T.StructType([T.StructField("doc_id", T.LongType())])
     schema = T.StructType([*rest.fields, *T._parse_datatype_string(_FEATURES).fields])
     rows = docs.select(*_inputs(docs), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(lean(_rows(schema.names, vocabularies, bands, False)), schema)
+    return rows.mapInArrow(lean(_rows(schema.names, 0, 1, range(2, 3), vocabularies, bands, False)), schema)
 
 
 def quality_filter(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dict = BANDS) -> DataFrame:
     """Rows of `docs` that no rule rejects, with all their columns; cases as in quality_features."""
     prepare(docs.sparkSession)
-    text, lang = _inputs(docs)
-    rows = carried(docs, text=text, lang=lang)
-    return rows.mapInArrow(lean(_rows(docs.columns, vocabularies, bands, True)), docs.schema)
+    rows, text = carried_text(docs, _inputs(docs)[1])
+    n = len(docs.columns)
+    return rows.mapInArrow(lean(_rows(docs.columns, text, n, range(n), vocabularies, bands, True)), docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,14 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from conftest_llm import SCHEMA, prose
+from pyspark.sql import functions as F
 
-from quadloom.llm import decontaminate, fertility, mixture, ngram_join
-from quadloom.llm.tokenizers import byte_bpe
+from quadloom.llm import decontaminate, fertility, mixture, ngram_join, textkit
+from quadloom.llm.common import carried_text, lean
+from quadloom.llm.tokenizers import VOCABULARIES, byte_bpe
 
 
 def test_stages():
@@ -28,7 +32,7 @@ def test_each_stage_keeps_the_columns_and_its_decisions(spark, sf):
     ids = {r["doc_id"] for r in docs.collect()}
     reasons = {r["doc_id"]: r["reason"] for r in fertility.quality_features(docs).collect()}
     assert kept[0] == {d for d, r in reasons.items() if r is None}
-    pairs = [(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_documents(docs.where(docs["doc_id"].isin(list(kept[0])))).collect()]
+    pairs = [(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(docs.where(docs["doc_id"].isin(list(kept[0])))).collect()]
     group = {i: i for i in kept[0]}
 
     def root(i):
@@ -77,3 +81,26 @@ def test_clean_documents_stay(spark, sf):
     docs = spark.createDataFrame(rows, SCHEMA)
     for _, stage in corpus_pipeline.STAGES[1:3]:
         assert Counter(r["doc_id"] for r in stage(spark, docs, sf).collect()) == Counter(range(60))
+
+
+def test_workers_hold_a_text_once(spark):
+    docs = spark.createDataFrame([(i, prose(41_000 + i, 900), "en") for i in range(3)], "doc_id long, text string, lang string")
+    rows, at = carried_text(docs)
+    assert (rows.columns, at) == (["c0", "c1", "c2"], 1)
+    rows, at = carried_text(docs.withColumn("text", F.encode("text", "utf-8")))
+    assert at == 3 and rows.dtypes[1][1] == "binary" and rows.dtypes[3][1] == "string"
+    # what stays of a large batch is sent on by slices
+    texts = [prose(41_100 + i, 4000) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 200})
+    run = fertility._rows(["text", "lang"], 0, 1, range(2), VOCABULARIES, {k: (0.0, 99.0, 1.0, 0.0) for k in fertility.BANDS}, True)
+    out = list(run(iter([batch])))
+    assert len(out) > 1 and sum((b.column(0).to_pylist() for b in out), []) == texts
+
+
+def test_workers_forget_what_a_task_filled():
+    encoder = textkit.Encoder(lambda xs: [[len(x)] for x in xs], np.uint16)
+    task = lean(lambda batches: ((encoder.ids(b)[0].tolist(), len(encoder.known), len(textkit.powers(9)[0])) for b in batches))
+    ((ids, known, powers),) = task(iter([pa.array([b"a", b"bc"])]))
+    assert ids == [1, 2] and known == 2 and powers >= 9
+    assert not encoder.known and len(textkit._pow) == len(textkit._inv) == 1
+    assert encoder.ids(pa.array([b"bc"]))[0].tolist() == [2]
