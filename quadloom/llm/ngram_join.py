@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import posixpath
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quadloom.llm import textkit
-from quadloom.llm.common import carried, filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
+from quadloom.llm.common import carried_text, filesystem, lean, materialise, prepare, publish, shared_dir, shuffle_width, table
 from quadloom.llm.pairing import _bits, _keeper, _read_filter, by_shard, key_filter
 
 WORDS = 2
@@ -73,16 +74,37 @@ def set_keys(fp: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np
     return np.where(size > 0, key | np.uint64(1), 0).view(np.int64), size
 
 
-def _packed(fp: np.ndarray) -> bytes:
-    """A set in 6 bytes an element, as fingerprints have 48 bits."""
-    return np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : textkit.FP_BITS // 8]).tobytes()
+def _packed(fp: np.ndarray, text: bytes) -> bytes:
+    """A set as the deflated text that it is made from, or in 6 bytes an element, as fingerprints have 48 bits, where that is less."""
+    deflated = zlib.compress(text, 1)
+    if len(deflated) < len(fp) * textkit.FP_BITS // 8:
+        return b"t" + deflated
+    return b"s" + np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : textkit.FP_BITS // 8]).tobytes()
 
 
-def _unpacked(data) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, textkit.FP_BITS // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : raw.shape[1]] = raw
-    return out.view("<u8").reshape(-1)
+def _unpacked(column: pa.Array) -> list[np.ndarray | None]:
+    """The sets of a column, None for nulls."""
+    out: list[np.ndarray | None] = [None] * len(column)
+    texts, at = [], []
+    for i, x in enumerate(column):
+        data = x.as_buffer()
+        if data is None:
+            continue
+        data = memoryview(data)
+        if data[:1] == b"t":
+            texts.append(zlib.decompress(data[1:]))
+            at.append(i)
+            continue
+        raw = np.frombuffer(data[1:], np.uint8).reshape(-1, textkit.FP_BITS // 8)
+        full = np.zeros((len(raw), 8), np.uint8)
+        full[:, : raw.shape[1]] = raw
+        out[i] = full.view("<u8").reshape(-1)
+    if texts:
+        for a, b, fp, _, _, size in _sets(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
+            begin = np.cumsum(size) - size
+            for k in range(a, b):
+                out[at[k]] = fp[begin[k - a] : begin[k - a] + size[k - a]].copy()
+    return out
 
 
 def _sets(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -297,7 +319,7 @@ def _join_cell(cell: pa.Table) -> pa.Table:
     cell = cell.take(pa.array(sorted(names.values()), pa.int64()))
     key, far, at_home = (cell[c].to_numpy() for c in ("key", "far", "at_home"))
     fps = cell["fps"].combine_chunks() if cell.num_rows else cell["fps"]
-    sets = [_unpacked(fps[i].as_buffer()) for i in range(len(key))]
+    sets = _unpacked(fps)
     home, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
     far_home, far_guest = far[home], far[guest]
     # what distances to the pivot settle isn't compared
@@ -434,7 +456,7 @@ def _stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
     for batch in batches:
         for s in range(0, batch.num_rows, 2000):
             part = batch.slice(s, 2000)
-            sets = [_unpacked(x.as_buffer()) for x in part.column(2)]
+            sets = _unpacked(part.column(2))
             size = np.array([len(x) for x in sets], np.int64)
             yield np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size, part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False).astype(bool)
 
@@ -589,12 +611,13 @@ def _some_sets(files: list[str], n: int, less: tuple[list[str], int] | None):
         field, seen = _read_filter(names, n), set()
         without = _read_filter.__wrapped__(tuple(less[0]), less[1]) if less else None
         for batch in batches:
-            for _, _, fp, _, key, size in _sets(batch.column(0)):
+            column = textkit.text(batch.column(0))
+            for a, _, fp, _, key, size in _sets(column):
                 keep = (size > 0) & _among(field, n, key)
                 if less:
                     keep &= ~_among(without, less[1], key)
                 at, begin = _fresh(key, keep, seen), np.cumsum(size) - size
-                yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]]) for i in at]}, pa.schema([("key", pa.int64()), ("fps", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"key": key[at], "fps": [_packed(fp[begin[i] : begin[i] + size[i]], column[a + i].as_buffer().to_pybytes()) for i in at]}, pa.schema([("key", pa.int64()), ("fps", pa.binary())]))
 
     return run
 
@@ -604,14 +627,14 @@ def _verify(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sets = None, {}
-        for batch in batches:
+        for batch in (whole.slice(s, 1000) for whole in batches for s in range(0, whole.num_rows, 1000)):
             pair, a, b = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            fps, out = batch.column(4), []
+            fps, out = _unpacked(batch.column(4)), []
             for i, c in enumerate(batch.column(0).to_pylist()):
                 if c != cell:
                     cell, sets = c, {}
                 if not pair[i]:
-                    sets[a[i]] = _unpacked(fps[i].as_buffer())
+                    sets[a[i]] = fps[i]
                     continue
                 p, q = sets[a[i]], sets[b[i]]
                 if len(p) > len(q):
@@ -820,18 +843,18 @@ def components(pairs: DataFrame) -> DataFrame:
         state = new.select("key", F.col("new").alias("group"))
 
 
-def _with_keys(files: list[str], n: int, names: list[str], hit: bool):
+def _with_keys(files: list[str], n: int, names: list[str], hit: bool, text: int):
     chosen = tuple(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _read_filter(chosen, n)
         for batch in batches:
-            keys = [k for *_, k, _ in _sets(batch.column(0))]
+            keys = [k for *_, k, _ in _sets(batch.column(text))]
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             maybe = key != 0
             for p in _bits(key, n):
                 maybe &= ((field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            rest = batch.columns[1:]
+            rest = batch.columns[: len(names)]
             rows = pa.RecordBatch.from_arrays([pa.array(key), *rest] if hit else rest, names=["_key", *names] if hit else names)
             yield rows.filter(pa.array(maybe if hit else ~maybe))
 
@@ -853,10 +876,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several = materialise(grouped.where("n > 1 OR group IS NOT NULL").select("key", F.coalesce("group", "key").alias("group")), "several")
     files, n = key_filter(several.select("key"))
     names = docs.columns
-    rows = carried(docs, search=docs["text"].cast("string"))
+    rows, text = carried_text(docs)
     inner = S.StructType([S.StructField("_key", S.LongType()), *[S.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]])
-    alone = rows.mapInArrow(lean(_with_keys(files, n, names, False)), docs.schema)
-    maybe = rows.mapInArrow(lean(_with_keys(files, n, [f"c{i}" for i in range(len(names))], True)), inner)
+    alone = rows.mapInArrow(lean(_with_keys(files, n, names, False, text)), docs.schema)
+    maybe = rows.mapInArrow(lean(_with_keys(files, n, [f"c{i}" for i in range(len(names))], True, text)), inner)
     maybe = maybe.join(several, maybe["_key"] == several["key"], "left")
     chosen = F.struct(F.col(f"c{names.index('doc_id')}").isNull(), f"c{names.index('doc_id')}", f"c{names.index('text')}", "_tie")
     maybe = maybe.withColumn("_tie", F.monotonically_increasing_id())

@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 from conftest_llm import make, prose, words
+from pyspark.sql import functions as F
 
 from quadloom.llm import ngram_join, passages, textkit
+from quadloom.llm.common import materialise
 from quadloom.llm.pairing import document_key, with_texts
 
 
@@ -408,3 +411,26 @@ def test_the_shorter_text_of_linked_documents_travels(spark):
     assert all((len(r["text_a"]), len(r["text_b"])) == (size[r["a"]], size[r["b"]]) for r in both)
     rows = passages.shared_passages(docs).collect()
     assert {r["doc_id"] for r in rows} == set(range(32))
+
+
+def test_sets_are_stored_small():
+    column = textkit.text(pa.array([prose(62_000, 400), "", "word", "杭州西湖 " * 3 + "。".join(chr(0x4E00 + i * 37 % 8000) for i in range(500)), prose(62_001, 5)]))
+    sets = [textkit.shingle_sets(column[i : i + 1], ngram_join.WORDS)[0] for i in range(len(column))]
+    stored = [ngram_join._packed(s, column[i].as_buffer().to_pybytes()) for i, s in enumerate(sets)]
+    assert len(stored[0]) < 5 * len(sets[0]) and all(len(x) <= 1 + 6 * len(s) for x, s in zip(stored, sets, strict=True))
+    back = ngram_join._unpacked(pa.array([*stored, None], pa.binary()))
+    assert back.pop() is None and all((x == y).all() and len(x) == len(y) for x, y in zip(back, sets, strict=True))
+
+
+def test_what_a_table_was_shuffled_for_is_removed(spark):
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+
+    before = files()
+    table = materialise(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and {r["k"]: r["count"] for r in table.collect()} == dict.fromkeys(range(10), 100)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
