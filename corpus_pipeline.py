@@ -6,17 +6,33 @@ read again as the next one's docs. All but the last return the columns of `docs`
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm import decontaminate, fertility, mixture, ngram_join, token_files
-from quadloom.llm.common import materialise, shared_dir, table
+from quadloom.llm.common import materialise, shared_dir, small_batches, table
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage with the session's batches bounded from then on: stages follow each other in executors whose heap has grown."""
+
+    @functools.wraps(f)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return bounded
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that a rule rejects go; texts that are null or blank are among them."""
     return fertility.quality_filter(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of similar documents the one of least id stays, of equal ids the one of least text.
 
@@ -26,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that hold an item of the benchmark go.
 
@@ -35,6 +52,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: blocks drawn to the target weights, a row for each document's piece of a block.
 
@@ -44,6 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.mixed_documents(docs)
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: token files, and for each row where its tokens are.
 

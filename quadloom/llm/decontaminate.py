@@ -209,7 +209,7 @@ def _search(ids: list, texts: list[str], names: list[str] | None, at: int = 0):
             column = textkit.text(batch.column(at))
             rest = batch.select(range(1, 2) if names is None else range(len(names)))
             keep = np.ones(len(column), bool)
-            for a, b in textkit.slices(column):
+            for a, b in textkit.slices(column, textkit.SLICE_BYTES // 2):
                 words = textkit.Words(column[a:b])
                 held = _verify(words, items, _candidates(words, made))
                 if names is not None:

@@ -38,6 +38,8 @@ LEAST_TOKENS = 40
 #: Entropy is set against that of so many different tokens at most: beyond, it no longer grows with length.
 EVEN_TOKENS = 1024
 _VOCABULARY = 32_000
+#: Text judged at once. Words, ids and histograms of a slice take many times its size in a worker.
+_SLICE = textkit.SLICE_BYTES // 4
 _FEATURES = "chars_per_token double, fallback_share double, token_entropy double, n_tokens long, script string, reason string"
 
 
@@ -116,7 +118,7 @@ def _rows(names: list[str], text: int, lang: int, rest: range, vocabularies: str
             langs = batch.column(lang).to_pylist()
             own = batch.select(rest)
             out = []
-            for a, b in textkit.slices(column):
+            for a, b in textkit.slices(column, _SLICE):
                 cpt, share, entropy, tokens = _features(column[a:b], vocabularies)
                 script = _scripts(column[a:b])
                 reason = _judge(cpt, share, entropy, tokens, script, langs[a:b], bands)

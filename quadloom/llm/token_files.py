@@ -38,7 +38,7 @@ def _writer(to: str, vocabularies: str):
         with fs.open_output_stream(tmp) as out:
             for batch in batches:
                 column = textkit.text(batch.column(1))
-                for a, b in textkit.slices(column):
+                for a, b in textkit.slices(column, textkit.SLICE_BYTES // 2):
                     pieces, first = textkit.chunks(column[a:b])
                     ids, each = encoder.ids(pieces)
                     out.write(ids.astype("<u2", copy=False).tobytes())

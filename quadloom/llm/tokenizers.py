@@ -42,7 +42,8 @@ def pieces(folder: str = VOCABULARIES, name: str = "piece_bpe_32k.model"):
 @functools.cache
 def piece_encoder(folder: str = VOCABULARIES, name: str = "piece_bpe_32k.model") -> Encoder:
     model = pieces(folder, name)
-    return Encoder(lambda xs: model.encode(xs, num_threads=1), np.uint16)
+    # words are more than a byte vocabulary's pieces, and most of them are rare
+    return Encoder(lambda xs: model.encode(xs, num_threads=1), np.uint16, 60_000)
 
 
 @functools.cache

@@ -104,3 +104,32 @@ def test_workers_forget_what_a_task_filled():
     assert ids == [1, 2] and known == 2 and powers >= 9
     assert not encoder.known and len(textkit._pow) == len(textkit._inv) == 1
     assert encoder.ids(pa.array([b"bc"]))[0].tolist() == [2]
+
+
+def test_stages_bound_the_batches_that_workers_get(spark, sf):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("ab cd " * 1000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64())})
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        each = [r["bytes"] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(each) >= 3000 * 6000 and max(each) <= 5 << 20
+
+
+def test_quality_rules_take_a_large_batch_in_small_slices(spark, monkeypatch):
+    texts = [prose(i, 700) for i in range(40)] + [prose(99, 120_000), "", None] + [prose(i, 700) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "lang": pa.array(["en"] * len(texts)), "doc_id": pa.array(range(len(texts)), pa.int64())})
+    run = fertility._rows(["doc_id", *[f"f{i}" for i in range(6)]], 0, 1, range(2, 3), VOCABULARIES, fertility.BANDS, False)
+    seen = []
+    features = fertility._features
+    monkeypatch.setattr(fertility, "_features", lambda column, v: seen.append(np.diff(textkit.buffers(column)[1])) or features(column, v))
+    small = pa.Table.from_batches(run([batch]))
+    # a document isn't cut
+    assert sum(map(len, seen)) == len(texts) and all(len(x) == 1 or x.sum() <= 512 << 10 for x in seen)
+    monkeypatch.setattr(fertility, "_features", features)
+    monkeypatch.setattr(textkit, "slices", lambda column, most=0: iter([(0, len(column))]))
+    assert small.equals(pa.Table.from_batches(run([batch])))
