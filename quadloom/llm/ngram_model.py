@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ PROBES = 6
 BROADCAST_BYTES = 64 << 20
 WEIGHTS = (0.2, 0.35, 0.45)
 _LOW = np.uint64(0xFFFFFFFF)
+_TRIMMED = np.uint64((1 << 48) - 1)
+#: A part of so many bits or fewer is made with a byte for each.
+_WHOLE_BITS = 1 << 26
 
 
 def _grams(words: textkit.Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,23 +135,44 @@ def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits of one shard: n-gram fingerprints with their counts, each as 1 + floor(log2(count)) entries."""
     level = np.frexp(counts.astype(float))[1] if len(counts) else np.zeros(0, int)
     bits = min(max(64, int(level.sum()) * BITS_AN_ENTRY), 1 << 32)
-    field = np.zeros(-(-bits // 8), np.uint8)
+    # a byte a bit is set faster than bits in place, while there are not too many
+    whole = bits <= _WHOLE_BITS
+    field = np.zeros(-(-bits // 8) * (8 if whole else 1), np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        for p in _positions(keys[level >= j], j, bits):
-            np.bitwise_or.at(field, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        for p in _positions(keys[level >= j] if j > 1 else keys, j, bits):
+            if whole:
+                field[p.view(np.int64)] = 1
+            else:
+                np.bitwise_or.at(field, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    if whole:
+        field = np.packbits(field, bitorder="little")
     return np.concatenate([np.frombuffer(np.array([bits], "<u8").tobytes(), np.uint8), field])
 
 
 def read_levels(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The level of each fingerprint by repeated membership probes; 0: not in the model."""
-    bits, field = int(part[:8].view("<u8")[0]), part[8:]
+    bits, field = np.uint64(part[:8].view("<u8")[0]), part[8:]
     level, alive, j = np.zeros(len(keys), np.int8), np.arange(len(keys)), 1
     while len(alive):
         x = textkit.mix(keys[alive] ^ np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1)), 7)
+        # sums of 32 bits wrap as those of _position do
+        a, b = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        ok = None
         for i in range(PROBES):
-            p = _position(x, i, bits)
-            ok = (field[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive, x = alive[ok], x[ok]
+            if i:
+                a += b
+            p = a.astype(np.uint64)
+            p *= bits
+            p >>= np.uint64(32)
+            at = p.astype(np.uint8) & np.uint8(7)
+            p >>= np.uint64(3)
+            hit = (field.take(p.view(np.int64)) >> at & np.uint8(1)).view(bool)
+            ok = hit if ok is None else ok & hit
+            # most n-grams of the first level pass all probes, most of a higher one few
+            if np.count_nonzero(ok) < 0.7 * len(ok):
+                alive, a, b, ok = alive[ok], a[ok], b[ok], None
+        if ok is not None:
+            alive = alive[ok]
         level[alive] = j
         j += 1
     return level
@@ -222,6 +246,26 @@ def _probabilities(level: list[np.ndarray], words: int, vocabulary: int) -> np.n
     return np.log(WEIGHTS[0] * p1 + WEIGHTS[1] * p2 + WEIGHTS[2] * p3)
 
 
+def _levels(words: textkit.Words, parts: Iterable[int], shards: int, part: Callable[[int], np.ndarray]) -> list[np.ndarray]:
+    """For each order the level of the n-gram that ends at each word. N-grams that are equal are asked for once, each part once."""
+    n, grams = len(words.hash), _grams(words)
+    keys = np.concatenate([h for h, _ in grams])
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    times = np.diff(np.append(np.flatnonzero(head), len(keys)))
+    keys = keys[head]
+    stops = np.searchsorted(_shard(keys, shards), np.arange(shards + 1).astype(np.uint64))
+    keys &= _TRIMMED
+    found = np.zeros(len(keys), np.int8)
+    for s in parts:
+        if stops[s] < stops[s + 1]:
+            found[stops[s] : stops[s + 1]] = read_levels(part(s), keys[stops[s] : stops[s + 1]])
+    level = np.zeros(ORDERS * n, np.int8)
+    level[np.concatenate([at + k * n for k, (_, at) in enumerate(grams)])[order]] = np.repeat(found, times)
+    return list(level.reshape(ORDERS, n))
+
+
 def _scorer(model: dict, sent):
     shards = model["shards"]
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_probability", pa.float64()), ("perplexity", pa.float64())])
@@ -235,17 +279,7 @@ def _scorer(model: dict, sent):
             # read part by part, a filter is better asked for many texts at once, and a part for all orders
             for a, b in textkit.slices(column, textkit.SLICE_BYTES * (1 if sent is not None else 2)):
                 words = textkit.Words(column[a:b])
-                level = [np.zeros(len(words.hash), np.int8) for _ in range(ORDERS)]
-                asked = []
-                for h, at in _grams(words):
-                    of = _shard(h, shards)
-                    order = np.argsort(of, kind="stable")
-                    asked.append((_untrim(_trim(h))[order], at[order], np.searchsorted(of[order], np.arange(shards + 1).astype(np.uint64))))
-                for s in model["bytes"]:
-                    field = part(s)
-                    for n, (keys, at, stops) in enumerate(asked):
-                        mine = slice(stops[s], stops[s + 1])
-                        level[n][at[mine]] = read_levels(field, keys[mine])
+                level = _levels(words, model["bytes"], shards, part)
                 total = np.concatenate([[0.0], np.cumsum(_probabilities(level, model["words"], model["vocabulary"]))])
                 count = words.counts
                 log_p = total[words.first[1:]] - total[words.first[:-1]]

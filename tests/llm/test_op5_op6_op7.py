@@ -249,3 +249,36 @@ def test_scores_odd(spark, odd, nothing):
 def test_grams_stay_within_documents():
     w = textkit.Words(textkit.text(pa.array(["a b c", "d e", ""])))
     assert [len(h) for h, _ in ngram_model._grams(w)] == [5, 3, 1]
+
+
+def test_model_is_asked_once_for_each_ngram_of_a_slice(monkeypatch):
+    shards = 5
+    column = textkit.text(pa.array([prose(1, 400, 50), None, "one", prose(1, 400, 50), "?!", "one two", prose(2, 300, 50)], pa.string()))
+    words = textkit.Words(column)
+    every = np.concatenate([h for h, _ in ngram_model._grams(words)])
+    kinds, counts = np.unique(every, return_counts=True)
+    of = ngram_model._shard(kinds, shards)
+    trim = kinds & np.uint64((1 << 48) - 1)
+    parts = {s: ngram_model.build_part(trim[of == s], counts[of == s]) for s in range(shards)}
+    monkeypatch.setattr(ngram_model, "_WHOLE_BITS", 0)
+    assert all((ngram_model.build_part(trim[of == s], counts[of == s]) == p).all() for s, p in parts.items())
+    asked = []
+    read = ngram_model.read_levels
+    monkeypatch.setattr(ngram_model, "read_levels", lambda part, keys: asked.append(len(keys)) or read(part, keys))
+
+    class Sent:
+        value = {s: p.tobytes() for s, p in parts.items()}
+
+    model = {"folder": "", "shards": shards, "bytes": {s: len(p) for s, p in parts.items()}, "words": len(words.hash), "vocabulary": 50}
+    ids = pa.array(range(len(column)), pa.int64())
+    rows = pa.Table.from_batches(ngram_model._scorer(model, Sent)(iter([pa.RecordBatch.from_arrays([ids, column], names=["doc_id", "text"])])))
+    assert sum(asked) == len(kinds) < len(every) and len(asked) == shards
+    # as if each n-gram was asked for by itself
+    level = [np.zeros(len(words.hash), np.int8) for _ in range(ngram_model.ORDERS)]
+    for n, (h, at) in enumerate(ngram_model._grams(words)):
+        for key, place in zip(h, at, strict=True):
+            level[n][place] = read(parts[int(ngram_model._shard(np.array([key]), shards)[0])], np.array([key & np.uint64((1 << 48) - 1)]))[0]
+    p = ngram_model._probabilities(level, len(words.hash), 50)
+    assert np.allclose(rows["log_probability"].to_numpy(), [p[a:b].sum() for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
+    assert rows["n_words"].to_pylist() == words.counts.tolist() and rows["perplexity"].null_count == 2
+    assert not len(list(ngram_model._levels(textkit.Words(column[4:5]), parts, shards, lambda s: parts[s]))[0])
