@@ -434,3 +434,31 @@ def test_what_a_table_was_shuffled_for_is_removed(spark):
         time.sleep(0.1)
     assert files() <= before and {r["k"]: r["count"] for r in table.collect()} == dict.fromkeys(range(10), 100)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_equal_texts_of_pairs_are_taken_apart_once_and_stretches_are_all_found(monkeypatch):
+    passage = prose(5, 80)
+    hub = f"{prose(6, 60)} {passage} {prose(7, 40)}"
+    others = [f"{prose(100 + i, 30 + i)} {passage} {prose(200 + i, 20)}" for i in range(12)] + ["", "word", hub, prose(8, 200)]
+    n = len(others)
+    taken = []
+    whole = textkit.Words
+
+    def recorded(column, *rest):
+        taken.extend(column.to_pylist())
+        return whole(column, *rest)
+
+    monkeypatch.setattr(textkit, "Words", recorded)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([hub] * n, pa.string()), pa.array(range(1, n + 1)), pa.array(others, pa.string())], names=list("abcd"))
+    rows = pa.Table.from_batches(passages._verifier(iter([batch])), passages._PAIRED_OUT).to_pylist()
+    assert taken.count(hub) == 2 and len(taken) == n + 1
+    one = [whole(textkit.text(pa.array([x], pa.string()))) for x in (hub, *others)]
+    by_pair = [(i + 1, *r) for i in range(n) for _, r in passages.alike_passages(one[0], one[i + 1])]
+    assert [tuple(r.values())[1:] for r in rows] == by_pair and {r[0] for r in by_pair} == {*range(1, 13), 15}
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        x, y = (textkit.mix(rng.integers(0, rng.integers(1, 30), rng.integers(0, 40)).astype(np.uint64)) for _ in range(2))
+        same = {(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]}
+        first = sorted((i, j) for i, j in same if (i - 1, j - 1) not in same)
+        size = [next(k for k in range(1, 50) if (i + k, j + k) not in same) for i, j in first]
+        assert [tuple(map(int, s)) for s in zip(*passages._stretches(x, y), strict=True)] == [(*f, k) for f, k in zip(first, size, strict=True)]
