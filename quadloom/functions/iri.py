@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 PARTS = ("scheme", "scheme_specific_part", "authority", "user_info", "host", "port", "path", "query", "fragment")
 _WHOLE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?([^#]*)(#.*)?$"
-_HIER = r"(?s)^//(?:([^/?#@]*)@)?([^/?#@:\[\]]+|\[[^\]/?#]*\])(:[0-9]*)?((?:/[^?#]*)?)(\?[^#]*)?$"
+_HIER = r"(?s)^//(?:([^/?#@]*)@)?([^/?#@:\[\]]+|\[[^\]/?#]*\])(:[0-9]*)?((?:/[^?#]*)?)(\?[^#]*)?\Z"
+
+
+#: Both at once: scheme, user, host, port, path, query, the part of an IRI with a scheme but no host, all of one without a scheme, fragment.
+_PARTED = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#@]*@)?([^/?#@:\[\]]+|\[[^\]/?#]*\])(:[0-9]*)?((?:/[^?#]*)?)(\?[^#]*)?(?=#|\z)|([^#]*))|([^#]*))(#.*)?\z"
 
 
 def _null(c: Column) -> Column:
@@ -22,25 +26,24 @@ def _null(c: Column) -> Column:
 
 
 def decompose(iri: Column) -> dict[str, Column]:
-    """Columns by part; all null for a null IRI. Escapes are kept as they are written."""
-    scheme = _null(F.regexp_extract(iri, _WHOLE, 1))
-    rest = F.regexp_extract(iri, _WHOLE, 2)
-    fragment = F.regexp_extract(iri, _WHOLE, 3)
-    hier = scheme.isNotNull() & rest.rlike(_HIER)
-    get = lambda i: F.when(hier, F.regexp_extract(rest, _HIER, i))
+    """Columns by part; all null for a null IRI. Escapes are kept as they are written.
+
+    One match for all parts: no part but the last can hold a #, so that they can stand in one string until it is split.
+    """
+    parts = F.split(F.regexp_replace(iri, _PARTED, "$1#$2#$3#$4#$5#$6#$7$8#$9"), "#", 8)
+    get = lambda i: F.get(parts, F.lit(i))
     # what precedes a part tells an empty one from none
     after = lambda c: F.when(c != "", F.substring(c, 2, 1 << 30))
-    user = F.when(hier & F.regexp_extract(rest, r"^//([^/?#@]*@)", 1).endswith("@"), F.regexp_extract(rest, _HIER, 1))
     return {
-        "scheme": scheme,
-        "scheme_specific_part": F.when(~hier, rest),
+        "scheme": _null(get(0)),
+        "scheme_specific_part": F.when(get(2) == "", get(6)),
         "authority": F.lit(None).cast("string"),
-        "user_info": user,
+        "user_info": F.when(get(1) != "", F.substring_index(get(1), "@", 1)),
         "host": _null(get(2)),
         "port": after(get(3)),
         "path": _null(get(4)),
         "query": after(get(5)),
-        "fragment": after(fragment),
+        "fragment": after(get(7)),
     }
 
 

@@ -26,7 +26,7 @@ def spark_type(datatype: str) -> str:
 
 def gyear(year: Column) -> Column:
     """Four digits at least, with the sign before them."""
-    text = F.abs(year).cast("string")
+    text = F.abs(year.cast("long")).cast("string")
     return F.concat(F.when(year < 0, "-").otherwise(""), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))
 
 
@@ -39,9 +39,26 @@ def to_lexical(c: Column, datatype: str) -> Column:
     return gyear(c) if datatype == "GYEAR" else c.cast("string")
 
 
+#: Forms that may come back from a type as they were; a cast of any other costs an exception.
+_FORMS = {
+    "INTEGER": r"^-?[0-9]{1,10}$", "BIGINT": r"^-?[0-9]{1,19}$", "GYEAR": r"^-?[0-9]{4,10}$", "NUMERIC": r"^-?[0-9]{1,38}(?:\.[0-9]+)?$",
+    "BOOLEAN": "^(?:true|false)$", "DATE": r"^[+-]?[0-9]{4,7}-[0-9]{2}-[0-9]{2}$", "DOUBLE": "^(?:-?[0-9][0-9.E-]*|NaN|-?Infinity)$", "FLOAT": "^(?:-?[0-9][0-9.E-]*|NaN|-?Infinity)$",
+}
+_MOST = {"INTEGER": "2147483647", "GYEAR": "2147483647", "BIGINT": "9223372036854775807"}
+
+
+def _likely(c: Column, datatype: str) -> Column:
+    """True for all forms that the type keeps, and for few that it has no value for."""
+    out = c.rlike(_FORMS[datatype.partition(":")[0]])
+    if (most := _MOST.get(datatype)) is None:
+        return out
+    digits = F.ltrim(c, F.lit("-"))
+    return out & ((F.length(digits) < len(most)) | (digits <= most) | (c == f"-{most[:-1]}8"))
+
+
 def keeps_form(c: Column, datatype: str) -> Column:
     """Whether this form, or null, comes back from the type as it was."""
-    return c.isNull() | F.coalesce(to_lexical(to_native(c, datatype), datatype) == c, F.lit(False))
+    return c.isNull() | F.coalesce(F.when(_likely(c, datatype), to_lexical(to_native(c, datatype), datatype) == c), F.lit(False))
 
 
 def scale(c: Column) -> Column:

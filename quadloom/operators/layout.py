@@ -17,6 +17,8 @@ from quadloom.plans.model import Table
 KEYS = ("p", "s_kind", "o_kind", "o_lang", "o_dt")
 #: A list of keys of more rows is not broadcast.
 BROADCAST_KEYS = 100_000
+#: Rows of a file. Quads of one predicate are small when compressed; files of the usual size would leave them to a task or two.
+FILE_ROWS = 500_000
 
 
 def partition_counts(quads: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def describe(keys: list[tuple], namespaces: dict[str, str]) -> list[Table]:
 
 def _written_apart(df: DataFrame, number: str, to: str) -> None:
     """One folder for each number; rows are spread so that neither a hot number nor many small ones hurt."""
-    df.hint("rebalance", number).write.mode("overwrite").partitionBy(number).parquet(to)
+    df.hint("rebalance", number).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(number).parquet(to)
 
 
 def partition(spark: SparkSession, quads: DataFrame, root: str, namespaces: dict[str, str]) -> list[tuple[Table, DataFrame]]:

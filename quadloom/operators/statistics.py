@@ -1,11 +1,12 @@
-"""One aggregation per table that tells all that the rewrites need to know."""
+"""Two aggregations per table that tell all that the rewrites need to know."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadloom.functions import lexical
 from quadloom.plans.model import IRI, Col, Table
@@ -52,28 +53,49 @@ def _same_scale(x):
     return F.min(lexical.scale(x)) == F.max(lexical.scale(x))
 
 
+def _forms(x: Column, i: int, target: str) -> list[Column]:
+    if target == "NUMERIC":  # the scale is kept only if it is one for all
+        return [F.max(lexical.scale(x)).alias(f"s{i}"), _same_scale(x).alias(f"q{i}"), *[F.coalesce(F.every(lexical.keeps_form(x, f"NUMERIC:{k}")), F.lit(True)).alias(f"f{i}_{k}") for k in range(7)]]
+    return [F.coalesce(F.every(lexical.keeps_form(x, target)), F.lit(True)).alias(f"f{i}")]
+
+
 def statistics(df: DataFrame, t: Table) -> dict[str, Stat]:
-    """Stat by physical column, all from one pass over the rows."""
+    """Stat by physical column.
+
+    Most columns are constant. Which are is told by comparing all rows with one, which is compiled; the least and the greatest text,
+    which aren't, and whether forms come back are asked of the others alone, in a second pass.
+    """
     columns = t.physical()
+    if not columns:
+        return {}
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    one = df.first()
     aggs = [F.count(F.lit(1)).alias("n")]
-    targets = {}
     for i, c in enumerate(columns):
         x = F.col(f"`{c.name}`")
-        aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"m{i}")]
+        aggs.append(F.count(x).alias(f"c{i}"))
+        if c.name in texts:
+            aggs.append(F.coalesce(F.every(x.eqNullSafe(F.lit(one[c.name] if one else None).cast("string"))), F.lit(True)).alias(f"e{i}"))
+    first = df.agg(*aggs).first()
+    targets, aggs = {}, []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c.name}`")
+        if c.name in texts and first[f"e{i}"]:
+            x = F.lit(one[c.name] if one else None).cast("string")
+        else:
+            aggs += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"m{i}")]
         if (target := target_type(t, c)) is not None:
             targets[i] = target
-            if target == "NUMERIC":  # the scale is kept only if it is one for all
-                aggs += [F.max(lexical.scale(x)).alias(f"s{i}"), _same_scale(x).alias(f"q{i}"), *[F.coalesce(F.every(lexical.keeps_form(x, f"NUMERIC:{k}")), F.lit(True)).alias(f"f{i}_{k}") for k in range(7)]]
-            else:
-                aggs.append(F.coalesce(F.every(lexical.keeps_form(x, target)), F.lit(True)).alias(f"f{i}"))
-    row = df.agg(*aggs).first()
+            aggs += _forms(x, i, target) if first[f"c{i}"] else []
+    row = df.agg(*aggs).first().asDict() if aggs else {}
     out = {}
     for i, c in enumerate(columns):
-        target, fits = targets.get(i), False
+        target, fits, present = targets.get(i), False, first[f"c{i}"]
         if target == "NUMERIC":
-            k = row[f"s{i}"]
+            k = row.get(f"s{i}")
             target, fits = f"NUMERIC:{k}", k is not None and k < 7 and bool(row[f"q{i}"]) and row[f"f{i}_{k}"]
         elif target:
-            fits = row[f"f{i}"]
-        out[c.name] = Stat(row["n"], row[f"c{i}"], row[f"l{i}"], row[f"m{i}"], bool(fits) and row[f"c{i}"] > 0, target)
+            fits = row.get(f"f{i}")
+        alone = one[c.name] if one else None
+        out[c.name] = Stat(first["n"], present, row.get(f"l{i}", alone), row.get(f"m{i}", alone), bool(fits) and present > 0, target)
     return out
