@@ -14,6 +14,8 @@ from quadloom.session import written
 
 KEY = "_subject"
 _INTO = "_into"
+#: Tables by the bits of a number, and numbers of a subject; more tables are listed.
+BITS, WORDS = 62, 4
 
 
 def keyed(df: DataFrame, t: Table) -> DataFrame:
@@ -25,11 +27,8 @@ def repeated_subject(df: DataFrame, t: Table) -> DataFrame:
     return keyed(df, t).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
 
 
-def patterns(tables: list[tuple[Table, DataFrame]]) -> tuple[dict[frozenset, int], set[int]]:
-    """How many subjects are in exactly which tables, and which tables have some subject twice.
-
-    One shuffle of subjects serves all pairs of tables.
-    """
+def _listed(tables: list[tuple[Table, DataFrame]]) -> tuple[dict[frozenset, int], set[int]]:
+    """patterns() of any number of tables: a subject's tables as a list."""
     both = None
     for i, (t, df) in enumerate(tables):
         one = keyed(df, t).select(F.lit(t.subject_kind).alias("kind"), KEY, F.lit(i).alias("i"))
@@ -43,6 +42,42 @@ def patterns(tables: list[tuple[Table, DataFrame]]) -> tuple[dict[frozenset, int
     return out, repeated
 
 
+def _repeating(tables: list[tuple[Table, DataFrame]], some: set[int]) -> set[int]:
+    """Which of these tables have some subject twice."""
+    both = None
+    for i in sorted(some):
+        one = keyed(tables[i][1], tables[i][0]).select(F.lit(i).alias("i"), KEY)
+        both = one if both is None else both.unionAll(one)
+    if both is None:
+        return set()
+    return {r["i"] for r in both.groupBy("i", KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()}
+
+
+def patterns(tables: list[tuple[Table, DataFrame]]) -> tuple[dict[frozenset, int], set[int]]:
+    """How many subjects are in exactly which tables, and which tables have some subject twice.
+
+    One shuffle of subjects serves all pairs of tables. A subject's tables are bits of a few numbers, which add up before the shuffle
+    and after it; only where subjects have more rows than tables, those tables are looked at again.
+    """
+    if len(tables) > BITS * WORDS:
+        return _listed(tables)
+    words = [f"w{k}" for k in range(-(-len(tables) // BITS))]
+    both = None
+    for i, (t, df) in enumerate(tables):
+        one = keyed(df, t).select(F.lit(t.subject_kind).alias("kind"), KEY, *[F.lit(1 << i % BITS if i // BITS == k else 0).cast("long").alias(w) for k, w in enumerate(words)])
+        both = one if both is None else both.unionAll(one)
+    per = both.groupBy("kind", KEY).agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(w).alias(w) for w in words])
+    more = (F.col("n") > sum((F.bit_count(w) for w in words), F.lit(0))).alias("more")
+    rows = per.select(*words, more).groupBy(*words, "more").agg(F.count(F.lit(1)).alias("n")).collect()  # a row or two a combination of tables
+    out: dict[frozenset, int] = {}
+    some: set[int] = set()
+    for r in rows:
+        of = frozenset(i for i in range(len(tables)) if r[f"w{i // BITS}"] >> i % BITS & 1)
+        out[of] = out.get(of, 0) + r["n"]
+        some |= of if r["more"] else set()
+    return out, _repeating(tables, some)
+
+
 def decide(tables: list[Table], counts: dict[frozenset, int], repeated: set[int]) -> list[tuple[int, int]]:
     """Pairs (into, from) in the order in which they are merged; replayed on the counts alone.
 

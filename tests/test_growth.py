@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import iri, lexical
 from quadloom.functions.lexical import XSD
-from quadloom.operators import layout, statistics, terms
+from quadloom.operators import layout, merge, statistics, terms
 from quadloom.session import shared_folder
 
 
@@ -54,3 +54,22 @@ def test_statistics_of_constants_and_others(spark):
     assert s["subject_p_fragment"] == statistics.Stat(3, 3, "0", "2", True, "INTEGER") and s["object_pxsd_int_litvalue"] == statistics.Stat(3, 3, "3", "5", True, "INTEGER")
     empty = statistics.statistics(terms.encode(q.where("s = ''"), t), t)
     assert all((x.rows, x.present, x.least, x.fits) == (0, 0, None, False) for x in empty.values())
+
+
+def _tables(spark, n):
+    out = []
+    for i in range(n):
+        t = terms.new_table(f"urn:p{i}", f"p{i}", "IRI", "IRI", None, None)
+        rows = [(f"http://e/x#{k}", "urn:o", None, None, "urn:g") for k in {i % 3, 7}] + ([("http://e/x#7", "urn:o2", None, None, "urn:g")] if i == 1 else [])
+        out.append((t, terms.encode(spark.createDataFrame(rows, "s string, o string, o_dt string, o_lang string, g string"), t)))
+    return out
+
+
+def test_patterns_by_bits_are_those_by_lists(spark, monkeypatch):
+    tables = _tables(spark, 5)
+    want = merge._listed(tables)
+    assert want[1] == {1} and want[0][frozenset(range(5))] == 1
+    monkeypatch.setattr(merge, "BITS", 2)  # several numbers
+    assert merge.patterns(tables) == want
+    monkeypatch.setattr(merge, "WORDS", 1)  # too many tables
+    assert merge.patterns(tables) == want
