@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from quadloom.functions.lexical import RDF, XSD
 
 _RESOURCE = r"(<[^>]*>|_:[^\s<>\"]+)"
-_LINE = rf'^\s*{_RESOURCE}\s*(<[^>]*>)\s*(?:{_RESOURCE}|"([^"]*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?)\s*{_RESOURCE}?\s*\.\s*(?:#.*)?$'
+#: A statement up to its object, and the rest: after a literal's closing quote, or from another object on.
+_HEAD = rf"^\s*{_RESOURCE}\s*(<[^>]*>)\s*"
+_END = rf"\s*{_RESOURCE}?\s*\.\s*(?:#.*)?$"
+_AFTER = rf"^(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?{_END}"
+_OBJECT = rf"^{_RESOURCE}{_END}"
 SKIPPED = r"^\s*(?:#.*)?$"
 QUADS = "s_kind string, s string, p string, o_kind string, o string, o_dt string, o_lang string, g string"
 COLUMNS = ("s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang", "g")
@@ -47,20 +51,44 @@ def _term(raw: Column, scope: Column) -> tuple[Column, Column]:
     return F.when(blank, "BNODE").when(raw != "", "IRI"), F.when(blank, F.concat(F.lit("_:"), scope, F.lit("/"), F.substring(raw, 3, 1 << 30))).when(raw != "", unescape(inner))
 
 
+def _parted(lines: DataFrame) -> DataFrame:
+    """With what is before the object (`_head`), a literal's text, and what follows, or the object and what follows; `_text` is null without a literal.
+
+    A literal is found by its quotes, so that long ones are met by no expression. Each part is made once: behind a generator no filter takes
+    the making of its columns along.
+    """
+    steps = (
+        lambda v: F.struct(v.alias("_plain"), F.regexp_extract(v, rf"({_HEAD})", 1).alias("_head")),
+        lambda x: F.struct(x["_head"].alias("_head"), F.substring(x["_plain"], F.length(x["_head"]) + 1, F.lit(1 << 30)).alias("_rest")),
+        lambda x: F.struct(x["_head"].alias("_head"), x["_rest"].alias("_rest"), F.when(x["_rest"].startswith('"'), F.substring_index(F.substring(x["_rest"], 2, 1 << 30), '"', 1)).alias("_text")),
+        # without a closing quote nothing follows, which is no statement
+        lambda x: F.struct(x["_head"].alias("_head"), x["_text"].alias("_text"), F.when(x["_text"].isNull(), x["_rest"]).otherwise(F.substring(x["_rest"], F.length(x["_text"]) + 3, F.lit(1 << 30))).alias("_after")),
+    )
+    parts = F.array(_plain(F.col("value")))
+    for f in steps:
+        parts = F.transform(parts, f)
+    return lines.select("*", F.inline(parts))
+
+
+def _statement() -> Column:
+    return (F.col("_head") != "") & F.when(F.col("_text").isNull(), F.col("_after").rlike(_OBJECT)).otherwise(F.col("_after").rlike(_AFTER))
+
+
 def parse_lines(lines: DataFrame, graph: Column, scope: Column) -> DataFrame:
     """Quads of the column `value`. A line that has no graph gets `graph`; blank node labels belong to `scope`.
 
     Blank and comment lines are skipped; a line that is no statement is dropped here and counted by rejects().
     """
-    get = lambda i: F.coalesce(F.regexp_extract("value", _LINE, i), F.lit(""))
-    s_kind, s = _term(get(1), scope)
-    r_kind, r = _term(get(3), scope)
-    literal, lang, dt = get(4), get(5), get(6)
-    is_literal = get(3) == ""
-    _, g = _term(get(7), scope)
-    return lines.withColumn("value", _plain(F.col("value"))).where(F.col("value").rlike(_LINE)).select(
-        s_kind.alias("s_kind"), s.alias("s"), unescape(F.substring(get(2), 2, F.length(get(2)) - 2)).alias("p"),
-        F.when(is_literal, "LITERAL").otherwise(r_kind).alias("o_kind"), F.when(is_literal, unescape(literal)).otherwise(r).alias("o"),
+    get = lambda c, pattern, i: F.coalesce(F.regexp_extract(c, pattern, i), F.lit(""))
+    is_literal = F.col("_text").isNotNull()
+    s_kind, s = _term(get("_head", _HEAD, 1), scope)
+    p = get("_head", _HEAD, 2)
+    r_kind, r = _term(get("_after", _OBJECT, 1), scope)
+    lang, dt = get("_after", _AFTER, 1), get("_after", _AFTER, 2)
+    _, g = _term(F.when(is_literal, get("_after", _AFTER, 3)).otherwise(get("_after", _OBJECT, 2)), scope)
+    return _parted(lines).where(_statement()).select(
+        s_kind.alias("s_kind"), s.alias("s"), unescape(F.substring(p, 2, F.length(p) - 2)).alias("p"),
+        F.when(is_literal, "LITERAL").otherwise(r_kind).alias("o_kind"), F.when(is_literal, unescape(F.col("_text"))).otherwise(r).alias("o"),
         F.when(is_literal, F.when(lang != "", RDF + "langString").when(dt != "", unescape(dt)).otherwise(XSD + "string")).alias("o_dt"),
         F.when(is_literal & (lang != ""), lang).alias("o_lang"), F.coalesce(g, graph).alias("g"),
     )
@@ -68,7 +96,7 @@ def parse_lines(lines: DataFrame, graph: Column, scope: Column) -> DataFrame:
 
 def rejects(lines: DataFrame) -> DataFrame:
     """Lines that are neither a statement nor blank nor a comment."""
-    return lines.where(~_plain(F.col("value")).rlike(_LINE) & ~F.col("value").rlike(SKIPPED))
+    return _parted(lines).where(~_statement() & ~F.col("value").rlike(SKIPPED)).select(*lines.columns)
 
 
 def _escaped(c: Column) -> Column:

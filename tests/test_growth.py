@@ -5,9 +5,10 @@ import os
 from pyspark.sql import functions as F
 
 from quadloom.functions import iri, lexical
-from quadloom.functions.lexical import XSD
+from quadloom.functions.lexical import RDF, XSD
 from quadloom.operators import layout, merge, statistics, terms
 from quadloom.session import shared_folder
+from quadloom.sources import lines
 
 
 def _rows(spark, values, name="v"):
@@ -73,3 +74,11 @@ def test_patterns_by_bits_are_those_by_lists(spark, monkeypatch):
     assert merge.patterns(tables) == want
     monkeypatch.setattr(merge, "WORDS", 1)  # too many tables
     assert merge.patterns(tables) == want
+
+
+def test_a_filter_does_not_parse_a_line_again(spark):
+    df = _rows(spark, [r'<a> <b> "x\"y"@en <g> .', '<a> <b> "x .', "<a> <b> _:c.", '<a> <b> "1"^^<d> .'], "value")
+    q = lines.parse_lines(df, F.lit("urn:g"), F.lit("s")).where("s_kind = 'IRI' AND o_kind = 'LITERAL'")
+    assert "Generate" in _plan(q)  # what is above it is made from parts that were found once
+    assert sorted((r["o"], r["o_dt"], r["o_lang"], r["g"]) for r in q.collect()) == [("1", "d", None, "urn:g"), ('x"y', RDF + "langString", "en", "g")]
+    assert [r["value"] for r in lines.rejects(df).collect()] == ['<a> <b> "x .']
